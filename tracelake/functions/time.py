@@ -8,7 +8,7 @@ doesn't exist gives null.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.rx import Rx
@@ -35,9 +35,8 @@ def _stamp(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).try_cast("timestamp")
 
 
-def parse_timestamp(text: Column) -> Column:
-    """The instant a line names, or null."""
-    a, i, s, e = (_found(text, rx) for rx in (APACHE, ISO, SYSLOG, EPOCH))
+def _instant(a: Column, i: Column, s: Column, e: Column) -> Column:
+    """The instant that the first form found names: Apache, ISO, syslog, epoch."""
     offset = F.trim(F.substring(a, 22, 20))
     minutes = F.when(F.length(offset) == 5, F.when(F.substring(offset, 1, 1) == "-", -1).otherwise(1) * (F.substring(offset, 2, 2).try_cast("int") * 60 + F.substring(offset, 4, 2).try_cast("int"))).otherwise(0)
     month = _month(F.substring(a, 5, 3))
@@ -50,6 +49,18 @@ def parse_timestamp(text: Column) -> Column:
     return F.when((a != "") & month.isNotNull(), apache).when(i != "", iso).when((s != "") & when.isNotNull(), syslog).when(e != "", F.timestamp_millis(millis))
 
 
+def parse_timestamp(text: Column) -> Column:
+    """The instant a text names, or null."""
+    return _instant(*(_found(text, rx) for rx in (APACHE, ISO, SYSLOG, EPOCH)))
+
+
+def with_timestamp(df: DataFrame, text: str, out: str = "ts") -> DataFrame:
+    """`df` with the instant that a text column names; each form is looked for once."""
+    names = ("apache__", "iso__", "syslog__", "epoch__")
+    found = df.withColumns({n: _found(F.col(text), rx) for n, rx in zip(names, (APACHE, ISO, SYSLOG, EPOCH))})
+    return found.withColumn(out, _instant(*map(F.col, names))).drop(*names)
+
+
 def parse_timestamp_sql(text: str) -> str:
     """The same for DuckDB."""
     a, i, s, e = (f"regexp_extract({text}, '{rx.re2}')" for rx in (APACHE, ISO, SYSLOG, EPOCH))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracelake.functions.text import high_entropy_tokens
 from tracelake.operators import bayes, features, forest
 from tracelake.operators.detect import truncate
 from tracelake.operators.timeline import numbered
@@ -55,3 +56,38 @@ def log_anomalies(entries: DataFrame, model: bayes.Model, top: int = TOP) -> Dat
     per = risky.groupBy(key.alias("k")).agg(F.max(best).alias("b"), (F.count("*") - 1).alias("dupes"))
     out = per.select((-F.col("b.n")).alias("line_number"), "b.score", "b.reasons", "b.snippet", "dupes")
     return out.orderBy(F.desc("score"), "line_number").limit(top)
+
+
+#: Weights of the noisy-or of file records.
+MFT_WEIGHTS = (("suspicious_loc", 0.66), ("double_ext", 0.7), ("ext_risk", 0.45), ("inactive", 0.44), ("si_fn_delta", 0.6))
+
+
+def mft_risk(records: DataFrame) -> DataFrame:
+    """Features, isolation score and risk of every file record."""
+    rows = features.odd_features(features.mft_features(records), features.MFT_NAMES, features.MFT_ODD)
+    rows = forest.scored(rows, features.MFT_NAMES, "record_number", "isolation")
+    parts = [F.col(n) * w for n, w in MFT_WEIGHTS]
+    return rows.withColumn("risk", noisy_or(*parts, 0.44 * _beyond(F.col("name_entropy"), 0.7, 0.3), 0.48 * _beyond(F.col("isolation"), 0.5, 0.25)))
+
+
+def mft_anomalies(records: DataFrame, top: int = TOP) -> DataFrame:
+    """The riskiest records, one for each set of reasons, with how many more share it."""
+    risky = mft_risk(records).where(F.col("risk") >= FLAG)
+    key = F.when(F.col("reasons") == "", F.concat(F.lit("record "), F.col("record_number").cast("string"), F.lit(" "), F.col("path"))).otherwise(F.col("reasons"))
+    best = F.struct(F.round("risk", 3).alias("score"), (-F.col("record_number")).alias("n"), truncate(F.col("path"), 160).alias("path"), "reasons")
+    per = risky.groupBy(key.alias("k")).agg(F.max(best).alias("b"), (F.count("*") - 1).alias("dupes"))
+    return per.select((-F.col("b.n")).alias("record_number"), "b.score", "b.reasons", "b.path", "dupes").orderBy(F.desc("score"), "record_number").limit(top)
+
+
+ENTROPY_FLAGS, PREFIX, PACKED = 12, 24, 5.0
+
+
+def entropy_flags(rows: DataFrame, key: str, text: str, top: int = ENTROPY_FLAGS) -> DataFrame:
+    """The first long runs of high entropy by row, one for each start of 24 characters, and what they look like."""
+    found = rows.select(key, F.posexplode(F.array_sort(F.transform(high_entropy_tokens(F.col(text)), lambda x: F.struct((-F.round(x["entropy"], 2)).alias("e"), x["token"].alias("token"))))).alias("at", "x"))
+    found = found.select(key, "at", (-F.col("x.e")).alias("entropy"), F.col("x.token").alias("token"))
+    first = found.groupBy(F.substring("token", 1, PREFIX).alias("p")).agg(F.min(F.struct(key, "at", "entropy", "token")).alias("f")).select("f.*")
+    note = F.when(F.col("entropy") >= PACKED, "packed").when(F.col("token").rlike(r"^[A-Za-z0-9+/=]+\z"), "base64").otherwise("obfuscated")
+    best = first.orderBy(key, "at").limit(top)
+    place = F.row_number().over(Window.orderBy(key, "at"))  # `top` rows
+    return best.select(place.alias("place"), key, truncate(F.col("token"), 40).alias("value"), "entropy", note.alias("note"))

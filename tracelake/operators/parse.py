@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.time import parse_timestamp, parse_timestamp_sql
+from tracelake.functions.time import parse_timestamp_sql, with_timestamp
 from tracelake.rules.iocs import IPV4
 from tracelake.rx import Rx, quoted
 
@@ -58,7 +58,7 @@ def generic_fields(raw: Column, format_: Column | str = "txt") -> dict[str, Colu
 
 
 def _finished(df: DataFrame, fields: dict[str, Column]) -> DataFrame:
-    return df.select("line_number", parse_timestamp(F.col("raw")).alias("ts"), *[fields[c].alias(c) for c in COLUMNS[2:] if c != "raw"], "raw").select(*COLUMNS)
+    return with_timestamp(df.select("line_number", *[fields[c].alias(c) for c in COLUMNS[2:] if c != "raw"], "raw"), "raw").select(*COLUMNS)
 
 
 def _lines(lines: DataFrame, line: str) -> DataFrame:
@@ -133,15 +133,15 @@ def split_csv(line: Column, delimiter: str = ",") -> Column:
         doubled = (p == "") & (k > 0) & (k < F.size(pieces) - 1)
         return F.when(k % 2 == 1, p).when(doubled, F.lit('"')).otherwise(outside)
 
-    return F.transform(F.split(F.array_join(F.transform(pieces, joined), ""), _MARK), F.trim)
+    return F.transform(F.split(F.array_join(F.transform(pieces, joined), ""), _MARK), lambda c: F.trim(c))
 
 
 def csv_entries(lines: DataFrame, header: list[str], line: str = "line") -> DataFrame:
     """Entries of the lines of a CSV log, given its header; cells that a row lacks are null."""
     at = csv_columns(header)
-    df = _lines(lines, line).withColumn("cells", split_csv(F.col("raw")))
+    df = _lines(lines, line).withColumn("cells", split_csv(F.col("raw"))).withColumn("joined__", F.array_join("cells", " "))
     cell = lambda f: F.lit(None).cast("string") if at[f] is None else _or_null(F.get("cells", F.lit(at[f])))
-    joined = F.array_join("cells", " ")
+    joined = F.col("joined__")
     ip = cell("ip")
     fields = {
         "source_ip": F.when(ip.rlike(IP.java), ip).otherwise(_or_null(F.regexp_extract(joined, IP.java, 0))),
@@ -154,5 +154,18 @@ def csv_entries(lines: DataFrame, header: list[str], line: str = "line") -> Data
         "message": F.get("cells", F.lit(at["message"])) if at["message"] is not None else F.substring(joined, 1, MESSAGE),
         "format": F.lit("csv"),
     }
-    ts = parse_timestamp(F.coalesce(cell("time"), joined))
-    return df.select("line_number", ts.alias("ts"), *[fields[c].alias(c) for c in COLUMNS[2:] if c != "raw"], "raw").select(*COLUMNS)
+    out = df.select("line_number", F.coalesce(cell("time"), joined).alias("time__"), *[fields[c].alias(c) for c in COLUMNS[2:] if c != "raw"], "raw")
+    return with_timestamp(out, "time__").select(*COLUMNS)
+
+
+def csv_sql(lines: str, header: list[str]) -> str:
+    """Entries of the lines of a CSV log, for DuckDB; the header has to name time, address, user, message and status."""
+    at = csv_columns(header)
+    cell = lambda f: f"nullif(cells[{at[f] + 1}], '')"
+    pieces = "string_split(line, '\"')"
+    joined = f"array_to_string(list_transform({pieces}, lambda p, i: CASE WHEN i % 2 = 0 THEN p WHEN p = '' AND i > 1 AND i < len({pieces}) THEN '\"' ELSE replace(p, ',', chr(1)) END), '')"
+    text = "array_to_string(cells, ' ')"
+    return f"""SELECT line_number, {parse_timestamp_sql(f"coalesce({cell('time')}, {text})")} AS ts, CASE WHEN regexp_matches({cell('ip')}, {quoted(IP.re2)}) THEN {cell('ip')} ELSE nullif(regexp_extract({text}, {quoted(IP.re2)}), '') END AS source_ip,
+      {cell('user')} AS "user", NULL::VARCHAR AS method, NULL::VARCHAR AS url, CASE WHEN regexp_matches({cell('status')}, '^\\d{{3}}$') THEN try_cast({cell('status')} AS INT) END AS status_code,
+      NULL::BIGINT AS bytes, NULL::VARCHAR AS user_agent, cells[{at['message'] + 1}] AS message, line AS raw, 'csv' AS format
+      FROM (SELECT *, list_transform(string_split({joined}, chr(1)), lambda c: trim(c)) AS cells FROM ({lines}) WHERE trim(line) <> '')"""

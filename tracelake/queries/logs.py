@@ -10,6 +10,7 @@ from tracelake.operators import detect, iocs, parse, reason, threats, timeline,
 from tracelake.rules import severity
 from tracelake.rules.signatures import TACTICS
 from tracelake.sources import testbed
+from tracelake.streaming import behaviour
 
 ENTRIES = parse.weblog_sql(testbed.access_log("duckdb"))
 HITS = detect.hits_sql(ENTRIES)
@@ -246,12 +247,20 @@ def tactic_table(spark, sf):
 
 _TACTICS = f"SELECT tactic_id, tactic, place::INT AS place, coalesce(hits, 0)::BIGINT AS hits FROM (VALUES {', '.join(repr((t, n, k)) for t, (n, k) in TACTICS.items())}) AS t(tactic_id, tactic, place) LEFT JOIN (SELECT tactic_id, count(*) AS hits FROM ({HITS}) GROUP BY 1) USING (tactic_id)"
 
+def window_counts(spark, sf):
+    """The streaming operator over a finished table: ten-minute counts of each source."""
+    return _dated(behaviour.windowed_counts(entries(spark, sf)), "window_start")
+
+
+_WINDOWS = f"""SELECT {said_sql("time_bucket(INTERVAL '10 minutes', ts)")} AS window_start, source_ip, count(*)::BIGINT AS requests, count(*) FILTER (status_code >= 400)::BIGINT AS errors, count(*) FILTER (status_code IN (401, 403))::BIGINT AS denied,
+  count(*) FILTER (status_code = 404)::BIGINT AS missing, coalesce(sum(bytes), 0)::BIGINT AS bytes FROM ({ENTRIES}) WHERE source_ip IS NOT NULL AND ts IS NOT NULL GROUP BY ALL"""
+
 QUERIES = {
     f.__name__: f
     for f in (
         traffic_score, parse_access_log, parse_generic_line, parse_csv_log, detect_format, timestamp_normalize, signature_hits, signature_hits_pages, signature_summary, behavior_bruteforce, behavior_enumeration,
         anomalies_all, severity_histogram, ioc_extract_docs, ioc_extract_pages, ioc_extract_logs, ioc_by_type, ioc_private_ip, ioc_reference_url, technique_map, cve_map, technique_cve_link, timeline_events, timeline_phase,
-        attack_flow_nodes, attack_flow_edges, killchain_steps, intrusion_summary, actor_attribution, tools_detected, report_counters, report_steps, anomaly_search, log_search, kpi_logs, tactic_table,
+        attack_flow_nodes, attack_flow_edges, killchain_steps, intrusion_summary, actor_attribution, tools_detected, report_counters, report_steps, anomaly_search, log_search, kpi_logs, tactic_table, window_counts,
     )
 }
 
@@ -260,7 +269,9 @@ ORACLE_SQL = {
     "traffic_score": TRAFFIC,
     "parse_access_log": _dated_sql(ENTRIES, "ts"),
     "parse_generic_line": _dated_sql(parse.generic_sql(testbed.generic_log("duckdb")), "ts"),
+    "parse_csv_log": _dated_sql(parse.csv_sql(testbed.csv_log("duckdb"), testbed.CSV_HEADER.split(",")), "ts"),
     "detect_format": _DETECT,
+    "window_counts": _WINDOWS,
     "timestamp_normalize": f"SELECT line_number, {said_sql(parse_timestamp_sql('line'))} AS ts FROM ({testbed.generic_log('duckdb')})",
     "signature_hits": f"SELECT line_number, code, severity, technique_id, tactic_id, source_ip FROM ({HITS})",
     "signature_hits_pages": "SELECT line_number, code FROM (" + detect.hits_sql("SELECT page_id AS line_number, coalesce(html, '') AS raw, '' AS message FROM pages") + ")",

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.functions.time import said, said_sql
-from tracelake.operators import features, mft
+from tracelake.operators import clusters, features, hybrid, mft
 from tracelake.sources import testbed
 
 RECORDS = mft.records_sql(testbed.mft_table("duckdb"), testbed.MFT_HEADER)
@@ -82,7 +82,7 @@ def mft_zscore_reasons(spark, sf):
 
 
 #: Weights of the noisy-or of file records; the isolation forest's part is left out here.
-WEIGHTS = (("suspicious_loc", 0.66), ("double_ext", 0.7), ("ext_risk", 0.45), ("inactive", 0.44), ("si_fn_delta", 0.6), ("greatest(0, (name_entropy - 0.78) / 0.22)", 0.44))
+WEIGHTS = (("suspicious_loc", 0.66), ("double_ext", 0.7), ("ext_risk", 0.45), ("inactive", 0.44), ("si_fn_delta", 0.6), ("greatest(0, (name_entropy - 0.7) / 0.3)", 0.44))
 
 
 def noisy_or_mft(spark, sf):
@@ -92,8 +92,16 @@ def noisy_or_mft(spark, sf):
     return features.mft_features(records(spark, sf)).select("record_number", "path", F.round(1 - kept, 6).alias("risk"))
 
 
+def mft_ml_anomalies(spark, sf):
+    return hybrid.mft_anomalies(records(spark, sf))
+
+
+def mft_clusters(spark, sf):
+    return clusters.mft_clusters(records(spark, sf))
+
+
 _KEPT = " * ".join(f"(1 - least(1::DOUBLE, ({x})::DOUBLE * {w}))" for x, w in WEIGHTS)
-QUERIES = {f.__name__: f for f in (mft_parse, mft_totals, mft_findings, mft_shown, mft_by_category, mft_techniques, mft_iocs, mft_timeline, mft_features, mft_feature_stats, mft_zscore_reasons, noisy_or_mft)}
+QUERIES = {f.__name__: f for f in (mft_parse, mft_totals, mft_findings, mft_shown, mft_by_category, mft_techniques, mft_iocs, mft_timeline, mft_features, mft_feature_stats, mft_zscore_reasons, noisy_or_mft, mft_ml_anomalies, mft_clusters)}
 ORACLE_SQL = {
     "mft_parse": f"SELECT record_number, active, record_type, path, file_name, ext, {', '.join(_SHORT)} FROM ({_dated_sql(RECORDS, *_SHORT)})",
     "mft_totals": mft.totals_sql(RECORDS),

@@ -110,9 +110,13 @@ def ml_anomalies(spark, sf):
     return hybrid.log_anomalies(logs.entries(spark, sf), bayes.fit(testbed.labelled(spark, sf)))
 
 
+def entropy_flags(spark, sf):
+    return hybrid.entropy_flags(_docs(spark, sf), "doc_id", "text").select("place", "doc_id", "value", F.round("entropy", 2).alias("entropy"), "note")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (shannon_entropy, char_stats, tokenize, high_entropy_tokens, log_features, feature_stats, zscore_reasons, stride_sample, nb_train_counts, nb_predict, nb_crossval, nb_accuracy, class_distribution, tfidf_vocab, tfidf_weights, iforest_scores, kmeans_clusters, ml_anomalies)
+    for f in (shannon_entropy, char_stats, tokenize, high_entropy_tokens, log_features, feature_stats, zscore_reasons, stride_sample, nb_train_counts, nb_predict, nb_crossval, nb_accuracy, class_distribution, tfidf_vocab, tfidf_weights, iforest_scores, kmeans_clusters, ml_anomalies, entropy_flags)
 }
 _STATS = text.char_stats_sql("text")
 _CROSS = bayes.cross_validated_sql(CORPUS)
