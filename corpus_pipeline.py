@@ -44,7 +44,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text in place of the text."""
-    ids = pieces.encode_documents(docs, model_path())
+    ids = pieces.encode_documents(docs, model_path(), keep=["doc_id", "source", "lang", "n_chars"])
     return ids.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 

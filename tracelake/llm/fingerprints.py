@@ -5,8 +5,8 @@ paragraphs' vectors, lane by lane modulo powers of two. The order of paragraphs
 one can be added to or taken from a fingerprint without the rest. A vector has two parts:
 
 * EQUAL lanes of 32 bits from SHA-512 of the whole paragraph, for equality;
-* LIKE lanes of 24 bits: for each pair of neighbouring words, +1 or -1 by a bit of the pair's
-  XXH64. The squared difference of two fingerprints' lanes estimates how many pairs only one of
+* LIKE lanes of 24 bits: for each pair of neighbouring words in the paragraph, however often it has
+  the pair, +1 or -1 by a bit of the pair's XXH64. The squared difference of two fingerprints' lanes estimates how many pairs only one of
   them has, from which `likeness` follows.
 
 Defined cases: a null text counts as empty, which is one empty paragraph; equal fingerprints are 1
@@ -64,8 +64,8 @@ def _signs(pairs: Column) -> Column:
 
 
 def _pairs(paragraph: Column) -> Column:
-    """XXH64 of each word with the one after it, the last one alone."""
-    return _let(F.split(paragraph, " "), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b)))
+    """XXH64 of each word with the one after it, the last one alone; each pair once."""
+    return F.array_distinct(_let(F.split(paragraph, " "), lambda w: F.zip_with(w, F.slice(w, 2, F.size(w)), lambda a, b: F.xxhash64(a, b))))
 
 
 def _digest(paragraph: Column) -> Column:

@@ -15,17 +15,19 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelake.session import ship
 
 SPACE = "▁"
-#: Stretches and pairs of pieces that a worker remembers at most.
-REMEMBERED = 400_000
+#: Stretches, and pairs of pieces, after which a worker starts a new memory (of stretches it keeps the last one too).
+REMEMBERED = 300_000
 
 
 class MergeTokenizer:
@@ -50,7 +52,7 @@ class MergeTokenizer:
         self.score = {name: library.get_score(i) for name, i in self.ids.items()}
         self.automaton = ahocorasick.Automaton()
         for name, i in self.ids.items():
-            self.automaton.add_word(name, (i, len(name)))
+            self.automaton.add_word(name, i)
         self.automaton.make_automaton()
         known = {c for name in self.ids for c in name}
         if not known <= self.ids.keys():
@@ -63,8 +65,13 @@ class MergeTokenizer:
         for i in range(self.size):
             if library.is_unknown(i):
                 self.plain[i] = " ⁇ "
+        self.lengths = [len(name) for name in names]
+        self.reach = max(map(len, self.ids))
+        self.characters = {name for name in self.ids if len(name) == 1}
+        self.whole = {name for name in self.ids if self.merged(name) == [name]}
         self.remembered: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
 
     def _prefix(self, name: str) -> int:
         """The longest piece that is a proper prefix, or -1."""
@@ -86,50 +93,53 @@ class MergeTokenizer:
 
     def fits(self, left: int, right: int) -> bool:
         """Whether merging the joint text of two pieces gives the two back."""
-        known = self.pairs.get((left, right))
-        if known is None:
-            a, b = self.names[left], self.names[right]
-            known = self.merged(a + b) == [a, b]
-            if len(self.pairs) >= REMEMBERED:
-                self.pairs.clear()
-            self.pairs[left, right] = known
+        a, b = self.names[left], self.names[right]
+        known = self.merged(a + b) == [a, b]
+        if len(self.pairs) >= REMEMBERED:
+            self.pairs.clear()
+        self.pairs[left * self.size + right] = known
         return known
 
     def _run(self, text: str) -> list[int]:
         """Backtracking over a text all of whose characters are pieces."""
-        i = self.ids.get(text)
-        if i is not None and self.merged(text) == [text]:
-            return [i]
-        longest = [0] * len(text)
-        reach = [0] * len(text)
-        for end, (i, n) in self.automaton.iter(text):
-            if n > reach[end - n + 1]:
-                reach[end - n + 1], longest[end - n + 1] = n, i
-        names, shorter, fits = self.names, self.shorter, self.fits
-        failed = bytearray(len(text) // 8 + 1)
+        lengths, shorter, pairs, size = self.lengths, self.shorter, self.pairs, self.size
+        longest, reach = self.automaton.iter_long, self.reach  # no piece is longer than `reach`
+        n = len(text)
+        failed = bytearray(n // 8 + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, last = 0, -1
+        token = next(longest(text[:reach]))[1]
         while True:
-            end = at + len(names[token])
-            if not failed[end >> 3] >> (end & 7) & 1 and (not out or fits(out[-1], token)):
-                out.append(token)
-                at = end
-                if at == len(text):
-                    return out
-                token = longest[at]
-                continue
+            end = at + lengths[token]
+            if not failed[end >> 3] >> (end & 7) & 1:
+                fits = last < 0 or pairs.get(last * size + token)
+                if fits is None:
+                    fits = self.fits(last, token)
+                if fits:
+                    out.append(token)
+                    at, last = end, token
+                    if at == n:
+                        return out
+                    token = next(longest(text[at : at + reach]))[1]
+                    continue
             token = shorter[token]
             while token < 0:  # nothing is left to try here: this position fails
                 failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(names[last])
-                token = shorter[last]
+                token = out.pop()
+                at -= lengths[token]
+                last = out[-1] if out else -1
+                token = shorter[token]
 
     def _stretch(self, text: str) -> tuple[int, ...]:
+        ids = self.ids
+        if text in self.whole:
+            return (ids[text],)
+        if self.characters.issuperset(text):
+            return tuple(self._run(text))
         out: list[int] = []
         start = 0
         for k, c in enumerate(text):
-            if c not in self.ids:
+            if c not in ids:
                 if k > start:
                     out += self._run(text[start:k])
                 out += (self.id_of_byte[b] for b in c.encode())
@@ -142,18 +152,21 @@ class MergeTokenizer:
         """Ids of a whole text."""
         if not text:
             return []
-        out: list[int] = []
-        remembered = self.remembered
-        for m in self.stretches.finditer(SPACE + text.replace(" ", SPACE)):
-            part = m[0]
-            ids = remembered.get(part)
-            if ids is None:
-                ids = self._stretch(part)
-                if len(part) <= 64:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    remembered[part] = ids
-            out += ids
+        known, older = self.remembered, self.older
+        parts = self.stretches.findall(SPACE + text.replace(" ", SPACE))
+        long = {}
+        for part in set(parts):
+            if part not in known:
+                ids = older.get(part)
+                if ids is None:
+                    ids = self._stretch(part)
+                (known if len(part) <= 64 else long)[part] = ids
+        if long:
+            out = [i for part in parts for i in (long.get(part) or known[part])]
+        else:
+            out = list(chain.from_iterable(map(known.__getitem__, parts)))
+        if len(known) >= REMEMBERED:
+            self.remembered, self.older = {}, known
         return out
 
     def decode(self, ids: list[int]) -> str:
@@ -207,24 +220,6 @@ def tokenizer(model_path: str) -> MergeTokenizer:
     return MergeTokenizer(model_path)
 
 
-def encoded(text: Column, model_path: str) -> Column:
-    """Ids of a text column as array<int>."""
-    ship()
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        own = tokenizer(model_path)
-        rows, ends = [], [0]
-        for x in texts:
-            ids = np.array(own.encode(x.as_py()), np.int32)
-            rows.append(ids)
-            ends.append(ends[-1] + len(ids))
-        flat = np.concatenate(rows) if rows else np.empty(0, np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
-
-    return encode(text)
-
-
 def decoded(ids: Column, model_path: str) -> Column:
     """Text of an array<int> column."""
     ship()
@@ -237,9 +232,29 @@ def decoded(ids: Column, model_path: str) -> Column:
     return decode(ids)
 
 
-def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """`docs` with the ids of column `text` in column `out` (replaced if there is one)."""
-    return docs.withColumn(out, encoded(F.col(f"`{text}`").cast("string"), model_path))
+def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """The columns `keep` of `docs` (all of them, if it is None) and the ids of column `text` in column `out`.
+
+    A pass of its own: as a column function it would run again inside every function of its result.
+    """
+    ship(docs.sparkSession)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != out]
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text__"), *[F.col(f"`{c}`") for c in kept])
+
+    def encode(batches):
+        own = tokenizer(model_path)
+        for batch in batches:
+            parts, ends = [], [0]
+            for x in batch.column(0):
+                ids = np.array(own.encode(x.as_py()), np.int32)
+                parts.append(ids)
+                ends.append(ends[-1] + len(ids))
+            flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], ids], [*batch.schema.names[1:], out])
+
+    schema = T.StructType([*rows.schema.fields[1:], T.StructField(out, T.ArrayType(T.IntegerType()))])
+    return rows.mapInArrow(encode, schema)
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

@@ -6,9 +6,10 @@ v (4-bit classes 1 to 15 dealt round to the bits): three differing bits span at
 dimensions, so some v is orthogonal to all of them and the pair collides there. No pair within the
 radius is missed, and none is linked without its distance being counted.
 
-Large buckets are not compared pair by pair: their fingerprints are dealt again by covering masks
-over the bits that the bucket leaves open, until buckets are small or so few bits are open that
-all members link. Buckets emit a spanning forest of their links, never all pairs.
+Large buckets are not compared pair by pair: their fingerprints are dealt again by a second family
+of covering masks, over the bits that the bucket leaves open, and so on, until buckets are small or
+so few bits are open that all members link. A level is one job for all large buckets. Buckets emit a
+spanning forest of their links, never all pairs.
 
 Defined cases: a null text counts as empty; texts without words get fingerprint zero, linked like
 any other; repeated rows and copies share a component; a null doc_id takes part, and a component
@@ -17,6 +18,7 @@ without any doc_id has a null id. Input columns other than the two named are not
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 import numpy as np
@@ -110,11 +112,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _deal(prints: DataFrame, fixed: int) -> DataFrame:
-    """Rows (bits, key, fp) of every fingerprint in every table below the bits fixed so far."""
-    masks = covering_masks([b for b in range(BITS) if not fixed >> b & 1])
-    tables = F.array(*[F.lit(_signed(fixed | m)) for m in dict.fromkeys(masks)])
-    return prints.select("fp", F.explode(tables).alias("bits")).select("bits", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
+def family(level: int) -> list[int]:
+    """The masks of a level: as many covering families, over differently ordered bits."""
+    order = list(range(BITS))
+    if level:
+        random.Random(level).shuffle(order)
+    return covering_masks(order)
+
+
+def _deal(rows: DataFrame, level: int) -> DataFrame:
+    """Rows (bits, key, fp) of every fingerprint in every table of a level, below the bits fixed before it."""
+    masks = F.array(*[F.lit(_signed(m)) for m in family(level)])
+    dealt = rows.select("fp", "fixed", F.explode(masks).alias("mask")).select(F.col("fixed").bitwiseOR(F.col("mask")).alias("bits"), "fp")
+    if level:  # two ways may fix the same bits
+        dealt = dealt.distinct()
+    return dealt.select("bits", F.col("fp").bitwiseAND(F.col("bits")).alias("key"), "fp")
 
 
 def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -159,8 +171,8 @@ def bucket_links(bits: np.ndarray, key: np.ndarray, fp: np.ndarray, radius: int
     return spanning(np.concatenate(a), np.concatenate(b), n)
 
 
-def _within(batches):
-    """Of sorted bucket rows: links (fp, other), and rows (fp, null, bits) of buckets too large to compare."""
+def _within(most: int):
+    """Of sorted bucket rows: links (fp, other), and rows (fp, null, bits) of buckets of over `most` rows."""
     names, kinds = ["fp", "other", "bits"], [pa.int64()] * 3
 
     def out(fp, other, bits):
@@ -173,55 +185,56 @@ def _within(batches):
     def large(bits, fp):
         return out(fp, pa.nulls(len(fp), pa.int64()), bits)
 
-    held = [np.empty(0, np.int64)] * 3
-    spilling = None  # the bucket whose rows go on as they come
-    for batch in batches:
-        rows = [batch.column(k).to_numpy() for k in range(3)]
-        if spilling is not None:
-            same = (rows[0] == spilling[0]) & (rows[1] == spilling[1])
-            if same.any():
-                yield large(rows[0][same], rows[2][same])
-                rows = [x[~same] for x in rows]
-            if not len(rows[0]):
-                continue
-            spilling = None
-        held = [np.concatenate([h, x]) for h, x in zip(held, rows)]
-        bits, key, fp = held
-        starts = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (key[1:] != key[:-1])])
-        sizes = np.diff(np.r_[starts, len(fp)])
-        last = starts[-1]
-        if sizes[-1] > COMPARED:
-            spilling = (bits[-1], key[-1])
-            last = len(fp)
-        big = np.repeat(sizes > COMPARED, sizes)
-        if big[:last].any():
-            yield large(bits[:last][big[:last]], fp[:last][big[:last]])
-        small = ~big[:last]
-        if small.any():
-            yield compared(bits[:last][small], key[:last][small], fp[:last][small])
-        held = [x[last:] for x in held]
-    if len(held[0]):
-        yield compared(*held)
-
-
-def print_links(prints: DataFrame) -> DataFrame:
+    def run(batches):
+        held = [np.empty(0, np.int64)] * 3
+        spilling = None  # the bucket whose rows go on as they come
+        for batch in batches:
+            rows = [batch.column(k).to_numpy() for k in range(3)]
+            if spilling is not None:
+                same = (rows[0] == spilling[0]) & (rows[1] == spilling[1])
+                if same.any():
+                    yield large(rows[0][same], rows[2][same])
+                    rows = [x[~same] for x in rows]
+                if not len(rows[0]):
+                    continue
+                spilling = None
+            held = [np.concatenate([h, x]) for h, x in zip(held, rows)]
+            bits, key, fp = held
+            starts = np.flatnonzero(np.r_[True, (bits[1:] != bits[:-1]) | (key[1:] != key[:-1])])
+            sizes = np.diff(np.r_[starts, len(fp)])
+            last = starts[-1]
+            if sizes[-1] > most:
+                spilling = (bits[-1], key[-1])
+                last = len(fp)
+            big = np.repeat(sizes > most, sizes)
+            if big[:last].any():
+                yield large(bits[:last][big[:last]], fp[:last][big[:last]])
+            small = ~big[:last]
+            if small.any():
+                yield compared(bits[:last][small], key[:last][small], fp[:last][small])
+            held = [x[last:] for x in held]
+        if len(held[0]):
+            yield compared(*held)
+
+    return run
+
+
+def print_links(prints: DataFrame, compared: int = COMPARED) -> DataFrame:
     """Links (a, b) that connect all distinct fingerprints (column fp) within the radius."""
     ship()
-    links, todo = [], [(prints, 0)]
-    while todo:
-        rows, fixed = todo.pop()
-        if BITS - fixed.bit_count() <= RADIUS:  # all that agree on these bits link
-            key = F.col("fp").bitwiseAND(F.lit(_signed(fixed)))
-            hub = rows.groupBy(key.alias("key")).agg(F.min("fp").alias("b"))
-            links.append(rows.withColumn("key", key).join(hub, "key").select(F.col("fp").alias("a"), "b"))
-            continue
-        dealt = _deal(rows, fixed).repartition("bits", "key").sortWithinPartitions("bits", "key", "fp")
-        found = cut(dealt.mapInArrow(_within, "fp long, other long, bits long"), "near")
+    rows, links, level = prints.select("fp", F.lit(0).cast("long").alias("fixed")), [], 0
+    while True:
+        dealt = _deal(rows, level).repartition("bits", "key").sortWithinPartitions("bits", "key", "fp")
+        found = cut(dealt.mapInArrow(_within(compared), "fp long, other long, bits long"), "near")
         links.append(found.where("other is not null").select(F.col("fp").alias("a"), F.col("other").alias("b")))
-        large = found.where("other is null")
-        for (bits,) in large.select("bits").distinct().collect():  # at most 15
-            todo.append((large.where(F.col("bits") == bits).select("fp").distinct(), bits & ALL))
-    return reduce(DataFrame.unionAll, links)
+        large = found.where("other is null").select("fp", F.col("bits").alias("fixed"))
+        if not large.take(1):
+            return reduce(DataFrame.unionAll, links)
+        few = F.bit_count(F.col("fixed")) >= BITS - RADIUS  # all that agree on these bits link
+        stars = large.where(few).select("fp", "fixed", F.col("fp").bitwiseAND(F.col("fixed")).alias("key"))
+        hubs = stars.groupBy("fixed", "key").agg(F.min("fp").alias("b"))
+        links.append(stars.join(hubs, ["fixed", "key"]).select(F.col("fp").alias("a"), "b"))
+        rows, level = large.where(~few), level + 1
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 3) -> DataFrame:
