@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm import langid, mixing, pieces, secrets, simhash
+from tracelake.llm import langid, mixing, pieces, secrets, similar
 from tracelake.llm.common import shared_folder, table
 from tracelake.llm.queries import model_path
 
@@ -21,9 +21,9 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest doc_id, of each group of near-duplicates; of repeated rows one.
 
-    A row without a doc_id can't be named as another's copy and stays.
+    Near-duplicates share 0.8 or more of their five-word shingles. A row without a doc_id can't be named as another's copy and stays.
     """
-    groups = simhash.near_duplicates(docs.select("doc_id", "text"))
+    groups = similar.near_duplicates(docs.select("doc_id", "text"))
     kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
     nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang", "n_chars")))
     once = docs.join(kept, "doc_id", "left_semi").withColumn("nth__", nth).where("nth__ = 1")
