@@ -2,10 +2,12 @@
 
 A source with weight w releases its block k at slot floor(k / w) and has to place it before slot
 ceil((k + 1) / w). Serving the released block with the earliest deadline in every slot keeps each
-source less than one block from its weight after every slot. Weights are whole parts of PERIOD, so
-the schedule repeats: one period is worked out, and every block's slot follows from its number in
-its source. Rows are numbered in a shuffled order within their sources by a range partitioning,
-whose partitions split large sources, and the sizes of its pieces.
+source less than one block from its weight after every slot. Weights are taken exactly, so the
+schedule doesn't repeat: the driver walks through it once and keeps the blocks done before each
+range of RANGE slots, from which tasks work the ranges out again, and every block finds its slot by
+a join. Rows are numbered in a shuffled order within their sources by a range partitioning of their
+ids, whose partitions split large sources, and the sizes of its pieces; a period can be given, and
+then weights are rounded to whole parts of it.
 
 The mix is as long as it takes every row to appear: sources that would run out earlier start over
 (column epoch), so no row is left out and weights hold to the end.
@@ -19,16 +21,22 @@ the names of output columns are replaced.
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tracelake.llm.common import cut, parallelism
+from tracelake.session import ship
 
-#: Slots after which the schedule repeats; weights are whole parts of it.
+#: Parts that weights are rounded to by `parts` if no other number is given.
 PERIOD = 4096
+#: Slots that a task works out.
+RANGE = 1 << 15
 #: Rows of a block.
 BLOCK = 8
 #: Default weights go by this power of the sources' sizes: below 1, small sources weigh more than their share.
@@ -53,58 +61,98 @@ def parts(weights: Mapping[str, float], period: int = PERIOD) -> dict[str, int]:
     return out
 
 
-def schedule(own: Mapping[str, int], period: int = PERIOD) -> list[str]:
-    """The source served in each slot of a period: earliest deadline first among released blocks."""
-    waiting: dict[int, list[str]] = {0: sorted(own)}
-    ready: list[tuple[int, str]] = []
-    done = dict.fromkeys(own, 0)
-    out = []
-    for slot in range(period):
-        for s in waiting.pop(slot, []):
-            heapq.heappush(ready, (-(-(done[s] + 1) * period // own[s]), s))
+def exact(weights: Mapping[str, float]) -> dict[str, int]:
+    """Whole numbers in the very proportion of the weights."""
+    if any(not 0 < w < math.inf for w in weights.values()):
+        raise ValueError("weights have to be positive")
+    whole = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in whole.values()])
+    return {s: int(w * unit) for s, w in whole.items()}
+
+
+def served(own: list[int], total: int, done: list[int], start: int) -> Iterator[int]:
+    """The number of the source served in each slot from `start` on: earliest deadline first among
+    released blocks. `done`, the blocks of each source placed before, is kept up to date."""
+    waiting: dict[int, list[int]] = {}
+    ready: list[tuple[int, int]] = []
+    for s, w in enumerate(own):
+        waiting.setdefault(max(done[s] * total // w, start), []).append(s)
+    slot = start
+    while True:
+        for s in waiting.pop(slot, ()):
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // own[s]), s))
         _, s = heapq.heappop(ready)
-        out.append(s)
         done[s] += 1
-        release = done[s] * period // own[s]
-        waiting.setdefault(max(release, slot + 1), []).append(s)
+        slot += 1
+        waiting.setdefault(max(done[s] * total // own[s], slot), []).append(s)
+        yield s
+
+
+def schedule(own: Mapping[str, int], period: int = PERIOD) -> list[str]:
+    """The source served in each slot of a period."""
+    names = sorted(own)
+    return [names[s] for s in islice(served([own[n] for n in names], period, [0] * len(names), 0), period)]
+
+
+def ranges(own: list[int], total: int, blocks: list[int], size: int) -> list[tuple[int, int, list[int]]]:
+    """(first slot, slots, blocks done before) of each range of the mix, which ends with the slot in
+    which the last source has shown all its blocks."""
+    done, slot, left, out = [0] * len(own), 0, len(own), []
+    walk = served(own, total, done, 0)
+    while left:
+        before, first = list(done), slot
+        while left and slot < first + size:
+            s = next(walk)
+            slot += 1
+            left -= done[s] == blocks[s]
+        out.append((first, slot - first, before))
     return out
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, period: int = PERIOD, power: float = POWER) -> DataFrame:
+def _slots(own: list[int], total: int):
+    def run(batches):
+        for batch in batches:
+            for first, n, done in zip(*[c.to_pylist() for c in batch.columns]):
+                sources, blocks = [], []
+                for s in islice(served(own, total, done, first), n):
+                    sources.append(s)
+                    blocks.append(done[s] - 1)
+                yield pa.RecordBatch.from_arrays([pa.array(sources, pa.int32()), pa.array(blocks, pa.int64()), pa.array(range(first, first + n), pa.int64())], ["source__", "block", "slot"])
+
+    return run
+
+
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, period: int | None = None, power: float = POWER) -> DataFrame:
     """`docs` with epoch, block (number within the source), slot and position in the mix; rows of further epochs repeat."""
     spark = docs.sparkSession
+    ship(spark)
     name = F.when(F.col(f"`{source}`").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")))
     kept = [c for c in docs.columns if c.lower() not in OUT]
-    order = [F.xxhash64(F.col(f"`{id}`")), F.col(f"`{id}`")]
-    rows = docs.select(*[f"`{c}`" for c in kept], name.alias("name__"))
-    numbered = rows.repartitionByRange(parallelism(spark), "name__", *order).sortWithinPartitions("name__", *order).withColumn("place__", F.monotonically_increasing_id())
-    held = cut(numbered.withColumn("part__", F.shiftright("place__", 33)), "mix")
-    pieces = held.groupBy("name__", "part__").agg(F.count("*").alias("n"), F.min("place__").alias("first"))
+    held = cut(docs.select(*[f"`{c}`" for c in kept], name.alias("name__"), F.monotonically_increasing_id().alias("row__")), "mix")
+    rows = held.select("name__", F.col(f"`{id}`").alias("id__"), "row__")
+    order = ["name__", F.xxhash64("id__"), "id__", "row__"]
+    numbered = rows.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).select("name__", "row__", F.monotonically_increasing_id().alias("place__"))
+    numbered = cut(numbered.withColumn("part__", F.shiftright("place__", 33)), "mix-order")
+    pieces = numbered.groupBy("name__", "part__").agg(F.count("*").alias("n"), F.min("place__").alias("first"))
     sizes = {r["name__"]: r["n"] for r in pieces.groupBy("name__").agg(F.sum("n").alias("n")).collect()}  # a row for each source
     given = {n: float(c) ** power for n, c in sizes.items()} if weights is None else {("null" if k is None else f"={k}"): w for k, w in weights.items()}
     if missing := sizes.keys() - given.keys():
         raise ValueError(f"no weight for {sorted(missing)}")
-    own = parts({n: given[n] for n in sizes}, period)
-    slots = schedule(own, period) if own else []
-    nth: dict[str, int] = {}
-    table, at = [], {}
-    for slot, n in enumerate(slots):
-        k = nth[n] = nth.get(n, -1) + 1
-        table.append((n, k, slot))
-        at[n, k] = slot
-    # The mix ends with the slot in which the last source has shown all its rows.
-    last = {n: -(-c // block) - 1 for n, c in sizes.items()}
-    length = max((k // own[n] * period + at[n, k % own[n]] + 1 for n, k in last.items()), default=0)
-    plan_kind = T.StructType([T.StructField("name__", T.StringType()), T.StructField("nth__", T.LongType()), T.StructField("offset__", T.LongType())])
-    plan = F.broadcast(spark.createDataFrame(table, plan_kind))  # `period` rows
-    per_source = [(n, own[n], c, -(-length * own[n] * block // (period * c)) + 1) for n, c in sizes.items()]
-    facts = F.broadcast(spark.createDataFrame(per_source, "name__ string, own__ long, size__ long, epochs__ long"))  # `period` rows at most
+    shares = {n: given[n] for n in sizes}
+    parted = exact(shares) if period is None else parts(shares, period)
+    names = sorted(sizes)
+    own, total = [parted[n] for n in names], sum(parted.values())
+    walked = ranges(own, total, [-(-sizes[n] // block) for n in names], RANGE)
+    length = sum(n for _, n, _ in walked)
+    starts = spark.createDataFrame(walked, "first long, n long, done array<long>").repartition(max(1, len(walked)))  # a row for each range
+    plan = starts.mapInArrow(_slots(own, total), "source__ int, block long, slot long")
+    per_source = [(k, n, sizes[n], -(-length * own[k] * block // (total * sizes[n])) + 1) for k, n in enumerate(names)]
+    facts = F.broadcast(spark.createDataFrame(per_source, "source__ int, name__ string, size__ long, epochs__ long"))  # a row for each source
     before = pieces.withColumn("before__", F.sum("n").over(Window.partitionBy("name__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("name__", "part__", (F.coalesce("before__", F.lit(0)) - F.col("first")).alias("shift__"))
-    placed = held.join(before, ["name__", "part__"]).join(facts, "name__")
+    placed = numbered.join(before, ["name__", "part__"]).join(facts, "name__")
     placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs__"))))
     placed = placed.withColumn("g__", F.col("epoch") * F.col("size__") + F.col("place__") + F.col("shift__"))
-    placed = placed.withColumn("block", F.expr(f"g__ div {block}")).withColumn("nth__", F.col("block") % F.col("own__"))
-    placed = placed.join(plan, ["name__", "nth__"])
-    placed = placed.withColumn("slot", F.expr(f"(block div own__) * {period} + offset__")).where(F.col("slot") < length)
-    return placed.select(*[f"`{c}`" for c in kept], "epoch", "block", "slot", (F.col("slot") * block + F.col("g__") % block).alias("position"))
+    placed = placed.withColumn("block", F.expr(f"g__ div {block}")).join(plan, ["source__", "block"])
+    placed = placed.select("row__", "epoch", "block", "slot", (F.col("slot") * block + F.col("g__") % block).alias("position"))
+    return held.join(placed, "row__").select(*[f"`{c}`" for c in kept], "epoch", "block", "slot", "position")
