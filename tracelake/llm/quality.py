@@ -2,14 +2,16 @@
 
 View one is the text: hashed words (presence, weighted by idf) and shares of character kinds. View
 two is page metadata: source, language, length, and the layout (lines, their lengths, repeats,
-markup). Each view has a logistic regression. In every round each classifier labels the rows of
-an unlabelled pool that it is surest of, in the proportion of the labelled classes, and both learn
+markup). Each view has a logistic regression. In every round each classifier labels the unlabelled
+rows that it is surest of, in the proportion of the labelled classes, and both learn
 from the other's labels as well. At the end each view is calibrated on labelled rows kept aside,
 and a document's score is the mean of the calibrated log-odds, weighted by how well each view did
 there.
 
-Labelled rows (LABELLED at most) and the pool (POOL at most) are samples by the hash of the id;
-document frequencies and the scores cover all documents. A document is good if its label says so in
+Labelled rows (LABELLED at most) are a sample by the hash of the id. Document frequencies, the
+candidates of every round and the scores cover all documents: tasks score the unlabelled rows with
+the weights of the round and hand on their surest ones, and the driver gets sparse features of the
+surest of all, never texts. A document is good if its label says so in
 quality and it isn't toxic.
 
 Defined cases: a null text counts as empty; null metadata is a value of its own; ids with several
@@ -27,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import cut
 from tracelake.session import ship
 
 WORDS, META = 1 << 13, 512
-LABELLED, POOL = 8000, 8000
+LABELLED = 8000
 ROUNDS, SURE, ADDED = 4, 0.95, 400
 ROWS = 256
 STATS = 8
@@ -151,52 +154,113 @@ class Model:
         return sigmoid(total / say)
 
 
-def co_trained(model: Model, known: list[tuple], pool: list[tuple]) -> Model:
-    """Fits both views on rows (text, source, lang, good) and a pool of rows (text, source, lang)."""
-    y = np.array([r[3] for r in known], float)
+#: (places, values) of both views of a row, as columns.
+VIEWS = "at0 array<int>, x0 array<double>, at1 array<int>, x1 array<double>"
+
+
+def _feature_columns(parsed: list[tuple]) -> list[pa.Array]:
+    """Columns VIEWS of pairs (text view, metadata view)."""
+    kinds = pa.list_(pa.int32()), pa.list_(pa.float64())
+    return [pa.array([r[v][k] for r in parsed], kinds[k]) for v in range(2) for k in range(2)]
+
+
+def _features(batches):
+    """Of rows (key, text, source, lang, good): (key, good) and the columns VIEWS."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, ROWS):
+            part = batch.slice(k, ROWS)
+            texts, sources, langs = (part.column(c).to_pylist() for c in (1, 2, 3))
+            parsed = [(text_view(t), meta_view(s, l, t)) for t, s, l in zip(texts, sources, langs)]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), *_feature_columns(parsed)], ["key", "good", "at0", "x0", "at1", "x1"])
+
+
+def _views(r) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [(np.array(r[f"at{v}"], np.int64), np.array(r[f"x{v}"], float)) for v in range(2)]
+
+
+def _surest(held, quotas: list[int]):
+    """Of unlabelled rows (key, text, source, lang): each task's surest ones of every pick (view and label), and their views."""
+
+    def run(batches):
+        idf, weights, calibration, taken = held.value
+        best: list[list[tuple]] = [[] for _ in quotas]
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                keys, texts, sources, langs = (c.to_pylist() for c in batch.slice(k, ROWS).columns)
+                parsed = [(text_view(t), meta_view(s, l, t)) for t, s, l in zip(texts, sources, langs)]
+                free = np.array([x not in taken for x in keys])
+                for v in range(2):
+                    a, b, _ = calibration[v]
+                    p = sigmoid(a * Rows([r[v] for r in parsed], idf if v == 0 else None).times(weights[v]) + b)
+                    for pick, sure in ((2 * v, p), (2 * v + 1, 1 - p)):
+                        seen = {x[1] for x in best[pick]}
+                        for row in np.flatnonzero(free & (sure >= SURE)):
+                            if keys[row] not in seen:
+                                seen.add(keys[row])
+                                best[pick].append((-sure[row], keys[row], parsed[row]))
+                        if len(best[pick]) > quotas[pick]:
+                            best[pick] = sorted(best[pick], key=lambda x: x[:2])[: quotas[pick]]
+        for pick, rows in enumerate(best):
+            for k in range(0, len(rows), ROWS):
+                part = rows[k : k + ROWS]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([pick] * len(part), pa.int32()), pa.array([-x[0] for x in part], pa.float64()), pa.array([x[1] for x in part], pa.int64()), *_feature_columns([x[2] for x in part])],
+                    ["pick", "sure", "key", "at0", "x0", "at1", "x1"],
+                )
+
+    return run
+
+
+def surest(free: DataFrame, model: Model, weights: list[np.ndarray], calibration: list[tuple], taken: set[int], quotas: list[int]) -> list[list]:
+    """For each pick (view 0 good, view 0 bad, view 1 good, view 1 bad) the surest rows of all, each in one pick only."""
+    # A pick may lose rows to the picks before it, so it asks for as many more.
+    asked = [sum(quotas[: k + 1]) for k in range(len(quotas))]
+    held = free.sparkSession.sparkContext.broadcast((model.idf, weights, calibration, taken))  # weights, and keys of ROUNDS picks at most
+    found = cut(free.mapInArrow(_surest(held, asked), f"pick int, sure double, key long, {VIEWS}"), "surest")
+    out, used = [], set(taken)
+    for pick, quota in enumerate(quotas):
+        order = [F.col("sure").desc(), "key"]
+        top = found.where(F.col("pick") == pick).dropDuplicates(["key"]).orderBy(*order).limit(asked[pick]).collect()
+        rows = [r for r in top if r["key"] not in used][:quota]
+        used.update(r["key"] for r in rows)
+        out.append(rows)
+    held.unpersist()
+    return out
+
+
+def co_trained(model: Model, known: list[tuple], free: DataFrame) -> Model:
+    """Fits both views on rows (views, good) and on the unlabelled rows (key, text, source, lang)."""
+    y = np.array([r[1] for r in known], float)
     aside = np.arange(len(known)) % 4 == 3
     if min((y[~aside] > 0).sum(), (y[~aside] == 0).sum(), (y[aside] > 0).sum(), (y[aside] == 0).sum()) == 0:
         return model
-    all_rows = known + pool
-    labelled = np.r_[y, np.full(len(pool), np.nan)]
-    learned = [np.r_[~aside, np.zeros(len(pool), bool)] for _ in range(2)]
-    given = [labelled.copy(), labelled.copy()]
-    width = (WORDS, META)
-    parsed = [[text_view(r[0]) for r in all_rows], [meta_view(r[1], r[2], r[0]) for r in all_rows]]
-    scale = (model.idf, None)
-    views = [Rows(p, s) for p, s in zip(parsed, scale)]
+    width, scale = (WORDS, META), (model.idf, None)
+    rest = [Rows([r[0][v] for r, out in zip(known, aside) if out], scale[v]) for v in range(2)]
+    learned = [r[0] for r, out in zip(known, aside) if not out]
+    given, weight = list(y[~aside]), [1.0] * len(learned)
 
     def fit(v: int) -> np.ndarray:
-        on = learned[v]
-        kept = on[views[v].row]
-        x = Rows.__new__(Rows)
-        x.n, x.row, x.at, x.x = views[v].n, views[v].row[kept], views[v].at[kept], views[v].x[kept]
-        weight = np.where(on, np.where(np.arange(len(all_rows)) < len(known), 1.0, 0.5), 0.0)
-        return fitted(x, np.nan_to_num(given[v]), weight, width[v])
-
-    free = np.r_[np.zeros(len(known), bool), np.ones(len(pool), bool)]
+        return fitted(Rows([r[v] for r in learned], scale[v]), np.array(given), np.array(weight), width[v])
+
+    def calibration() -> list[tuple[float, float, float]]:
+        return [calibrated(rest[v].times(weights[v]), y[aside]) for v in range(2)]
+
     share = y[~aside].mean()
-    weights = [fit(0), fit(1)]
+    quotas = [max(1, round(ADDED * q)) for q in (share, 1 - share)] * 2
+    weights, taken = [fit(0), fit(1)], set()
     for _ in range(ROUNDS):
-        taught = 0
-        for v in range(2):
-            z = views[v].times(weights[v])
-            a, b, _ = calibrated(z[: len(known)][aside], y[aside])
-            p = sigmoid(a * z + b)
-            for label, sure, quota in ((1.0, p, share), (0.0, 1 - p, 1 - share)):
-                rows = np.flatnonzero(free & (sure >= SURE))
-                rows = rows[np.argsort(-sure[rows], kind="stable")][: max(1, round(ADDED * quota))]
-                for other in range(2):  # the other view learns from it, and so does this one
-                    given[other][rows] = label
-                    learned[other][rows] = True
-                free[rows] = False
-                taught += len(rows)
-        model.added += taught
-        if not taught:
+        found = surest(free, model, weights, calibration(), taken, quotas)
+        for pick, rows in enumerate(found):
+            learned += [_views(r) for r in rows]  # the other view learns from it, and so does this one
+            given += [1.0 - pick % 2] * len(rows)
+            weight += [0.5] * len(rows)
+            taken.update(r["key"] for r in rows)
+        if not any(found):
             break
         weights = [fit(0), fit(1)]
+    model.added = len(taken)
     model.weights = weights
-    model.calibration = [calibrated(views[v].times(weights[v])[: len(known)][aside], y[aside]) for v in range(2)]
+    model.calibration = calibration()
     return model
 
 
@@ -228,13 +292,12 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id") -> Model:
     place = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
     n_marks = max(1, marks.count())
     chosen = marks.where(place < int(min(1.0, LABELLED / n_marks) * (1 << 30)))
-    known = rows.join(chosen, "id").select("id", "text", "source", "lang", "good")
-    apart = F.pmod(F.xxhash64("id", F.lit("pool")), F.lit(1 << 30))
-    pool = rows.where(apart < int(min(1.0, POOL / n) * (1 << 30))).join(marks, "id", "left_anti").select("id", "text", "source", "lang")
-    order = [F.xxhash64("id"), F.xxhash64("text")]
-    known_rows = [tuple(r)[1:] for r in known.orderBy(*order).limit(LABELLED).collect()]
-    pool_rows = [tuple(r)[1:] for r in pool.orderBy(*order).limit(POOL).collect()]
-    return co_trained(Model(idf=idf), known_rows, pool_rows)
+    key = F.xxhash64("id", "text", "source", "lang").alias("key")
+    known = rows.join(chosen, "id").select(F.struct(F.xxhash64("id").alias("id"), F.xxhash64("text").alias("text")).alias("key"), "text", "source", "lang", "good")
+    known = known.mapInArrow(_features, f"key struct<id: bigint, text: bigint>, good int, {VIEWS}")
+    known_rows = [(_views(r), r["good"]) for r in known.orderBy("key").limit(LABELLED).collect()]
+    free = rows.join(marks, "id", "left_anti").select(key, "text", "source", "lang")
+    return co_trained(Model(idf=idf), known_rows, free)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
