@@ -48,7 +48,7 @@ def mft_findings(spark, sf):
 
 
 def mft_shown(spark, sf):
-    return mft.shown(found(spark, sf), mft.SCAN_CAP).select("record_number", "rule_no", "category", "severity", "path")
+    return mft.shown(found(spark, sf)).select("record_number", "rule_no", "category", "severity", "path")
 
 
 def mft_by_category(spark, sf):
