@@ -12,6 +12,10 @@ from tracelake.operators import bayes, detect, hybrid, iocs, mft, parse, reason,
 from tracelake.sources import ingest, testbed
 
 
+#: Characters at the start of a log that its format is told from.
+HEAD = 4000
+
+
 @dataclass
 class Analysis:
     """Results by name; nothing runs until a DataFrame is used."""
@@ -92,7 +96,8 @@ def analyze(spark: SparkSession, path: str) -> Analysis:
         return analyze_mft(mft.records(rows, header))
     if kind == "table":
         return analyze_logs(parse.csv_entries(rows, header))
-    head = "\n".join(r["line"] for r in rows.select("line").take(60))[:4000]
+    first = rows.where(F.col("line_number") <= HEAD).orderBy("line_number").select(F.substring("line", 1, HEAD).alias("line")).take(HEAD)  # each line adds a character at least
+    head = "\n".join(r["line"] for r in first)[:HEAD]
     form = spark.range(1).select(parse.detect_format(F.lit(path), F.lit(head)).alias("f")).first()["f"]
     return analyze_logs(parse.weblog(rows) if form == "weblog" else parse.generic(rows, format_=form))
 

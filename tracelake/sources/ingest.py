@@ -20,8 +20,8 @@ from tracelake.operators.parse import split_csv
 from tracelake.session import ship
 
 SHEETS, TABLES = ("xlsx", "xlsm", "xls"), ("csv", "tsv")
-#: Encodings tried if a text is no UTF-8, and rows read of a sheet.
-FALLBACKS, SHEET_ROWS = ("euc-kr", "cp949"), 500_000
+#: Encodings tried if a text is no UTF-8.
+FALLBACKS = ("euc-kr", "cp949")
 
 
 def extension(name: Column) -> Column:
@@ -109,15 +109,15 @@ def _strings(xml: str) -> list[str]:
     return [html.unescape("".join(re.findall(r"<t\b[^>]*>(.*?)</t>", si, re.DOTALL))) for si in re.findall(r"<si\b[^>]*>(.*?)</si>", xml, re.DOTALL)]
 
 
-def sheet_rows(content: bytes, most: int = SHEET_ROWS):
-    """Rows of the first sheet of a workbook, one at a time."""
+def sheet_rows(content: bytes, most: int | None = None):
+    """Rows of the first sheet of a workbook, one at a time; optionally only the first `most`."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = _strings(z.read("xl/sharedStrings.xml").decode()) if "xl/sharedStrings.xml" in names else []
         sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
         xml = z.read(sheets[0]).decode() if sheets else ""
     for k, row in enumerate(re.finditer(r"<row\b[^>]*>(.*?)</row>", xml, re.DOTALL)):
-        if k >= most:
+        if most is not None and k >= most:
             return
         cells: list[str] = []
         for attrs, body in re.findall(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row[1], re.DOTALL):
@@ -136,41 +136,44 @@ def sheet_rows(content: bytes, most: int = SHEET_ROWS):
         yield cells
 
 
-def _sheets(batches):
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1)):
-            n, held = 0, []
-            for cells in sheet_rows(content.as_py()):
-                held.append(cells)
-                if len(held) == 1000:
+def _sheets(most: int | None):
+    def run(batches):
+        for batch in batches:
+            for path, content in zip(batch.column(0), batch.column(1)):
+                n, held = 0, []
+                for cells in sheet_rows(content.as_py(), most):
+                    held.append(cells)
+                    if len(held) == 1000:
+                        yield _batch(path.as_py(), n, held)
+                        n, held = n + len(held), []
+                if held:
                     yield _batch(path.as_py(), n, held)
-                    n, held = n + len(held), []
-            if held:
-                yield _batch(path.as_py(), n, held)
+
+    return run
 
 
 def _batch(path: str, first: int, rows: list[list[str]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([path] * len(rows)), pa.array(range(first, first + len(rows)), pa.int64()), pa.array(rows, pa.list_(pa.string()))], ["file", "row_number", "cells"])
 
 
-def read_sheets(spark: SparkSession, path: str) -> DataFrame:
-    """(file, row_number, cells) of workbooks; the header is row 0."""
+def read_sheets(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """(file, row_number, cells) of workbooks, all rows or the first `most` of each; the header is row 0."""
     ship(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_sheets, "file string, row_number long, cells array<string>")
+    return files.mapInArrow(_sheets(most), "file string, row_number long, cells array<string>")
 
 
-def ingest(spark: SparkSession, path: str) -> tuple[str, DataFrame, list[str]]:
+def ingest(spark: SparkSession, path: str, most: int | None = None) -> tuple[str, DataFrame, list[str]]:
     """What a file is: ("mft" or "table", rows without header, header), or ("log", lines, []).
 
     Rows of a table whose header is not that of file records are a log again; a workbook's are
-    turned into CSV lines and then read as any other text.
+    turned into CSV lines and then read as any other text. `most` limits a workbook's rows.
     """
     how = kind(path)
     if how == "text":
         return "log", read_lines(spark, path), []
     if how == "sheet":
-        rows = read_sheets(spark, path)
+        rows = read_sheets(spark, path, most)
     else:
         lines = read_lines(spark, path)
         head = lines.where("line_number = 1").select("line").first()
