@@ -22,8 +22,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ids = pieces.encode_documents(docs, model_path(), keep=["doc_id"])
-    both = pieces.decode_documents(ids, model_path())
+    both = pieces.encode_documents(docs, model_path(), keep=["doc_id"], decoded="decoded")
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
