@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import public_tokenizers
 import pytest
@@ -6,6 +7,8 @@ import sentencepiece
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from tracelake.llm import mixing
+from tracelake.llm.common import shared_folder
 from tests.llm.test_simhash import by_hand, grouped
 from tests.llm.test_text_operators import WORDS, sentence
 
@@ -24,7 +27,7 @@ def docs(spark):
     return spark.createDataFrame([tuple(r) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-def test_stages(spark, docs):
+def test_stages(spark, docs, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     stages = dict(corpus_pipeline.STAGES)
     assert len(stages) == 5
@@ -44,10 +47,30 @@ def test_stages(spark, docs):
     mixed = stages["mixing sources to target weights"](spark, clean, "").cache()
     assert mixed.columns == docs.columns
     assert {r["text"] for r in mixed.collect()} == {r["text"] for r in clean.collect()} and mixed.count() >= clean.count()
-    last = stages["SentencePiece encoding and decoding"](spark, mixed, "")
+    stages["secret scans"](spark, once, "").coalesce(1).write.parquet(str(tmp_path / "clean"))
+    order = mixing.mix(spark.read.parquet(str(tmp_path / "clean"))).select("position", "doc_id").collect()
+    stages["mixing sources to target weights"](spark, spark.read.parquet(str(tmp_path / "clean")), "").write.parquet(str(tmp_path / "mixed"))
+    last = stages["SentencePiece encoding and decoding"](spark, spark.read.parquet(str(tmp_path / "mixed")), "").collect()
     texts = {r["doc_id"]: r["text"] for r in clean.collect()}
-    for r in last.collect():
-        assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"])
+    for r in last:
+        assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["n_tokens"] == len(r["ids"]) and r["text"] == library.decode(r["ids"])
+    assert sorted((r["position"], r["doc_id"] or -1) for r in last) == sorted((r["position"], r["doc_id"] or -1) for r in order)
+    assert [r["position"] for r in sorted(last, key=lambda r: r["position"])] == list(range(len(last)))
+
+
+def test_unrelated_texts_of_one_id_stay(spark):
+    rows = [(1, "one two three four five six"), (1, "other words that have nothing in common"), (1, "one two three four five six"), (2, "one two three four five six"), (None, "seven"), (None, "eight"), (None, "seven")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.one_of_each(spark, docs, "").collect()
+    assert sorted((str(r["doc_id"]), r["text"]) for r in kept) == [("1", rows[0][1]), ("1", rows[1][1]), ("None", "eight"), ("None", "seven")]
+
+
+def test_files_of_the_work_are_removed(spark, docs, tmp_path):
+    folder = Path(shared_folder(spark).removeprefix("file://"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert len(set(folder.iterdir()) - before) == 1 and out.count() > 100
 
 
 def test_run_and_empty_tables(spark, docs, tmp_path):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,10 +37,27 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return cut_at(df, name)[0]
 
 
+#: Folders written by `cut_at` within the open `scratch` blocks, the innermost last.
+_open: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes at its end what `cut` wrote within: wrap the work up to the action that uses it."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            drop(spark, path)
+
+
 def cut_at(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """As `cut`, with the path, for loops that drop what they no longer need."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if _open:
+        _open[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 

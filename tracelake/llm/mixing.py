@@ -37,6 +37,8 @@ from tracelake.session import ship
 PERIOD = 4096
 #: Slots that a task works out.
 RANGE = 1 << 15
+#: Epochs of a row that are written out together.
+ERA = 4096
 #: Rows of a block.
 BLOCK = 8
 #: Default weights go by this power of the sources' sizes: below 1, small sources weigh more than their share.
@@ -122,8 +124,11 @@ def _slots(own: list[int], total: int):
     return run
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, period: int | None = None, power: float = POWER) -> DataFrame:
-    """`docs` with epoch, block (number within the source), slot and position in the mix; rows of further epochs repeat."""
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, period: int | None = None, power: float = POWER, ordered: bool = False) -> DataFrame:
+    """`docs` with epoch, block (number within the source), slot and position in the mix; rows of further epochs repeat.
+
+    If `ordered`, partition k holds the k-th run of positions, in order.
+    """
     spark = docs.sparkSession
     ship(spark)
     name = F.when(F.col(f"`{source}`").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")))
@@ -151,8 +156,17 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     before = pieces.withColumn("before__", F.sum("n").over(Window.partitionBy("name__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)))
     before = before.select("name__", "part__", (F.coalesce("before__", F.lit(0)) - F.col("first")).alias("shift__"))
     placed = numbered.join(before, ["name__", "part__"]).join(facts, "name__")
-    placed = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("epochs__"))))
+    # A row of a small source may appear in very many epochs: they are dealt out by eras.
+    placed = placed.withColumn("era__", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"epochs__ div {ERA}"))))
+    if max((r[3] for r in per_source), default=0) >= ERA:
+        placed = placed.repartition("row__", "era__")
+    placed = placed.withColumn("epoch", F.explode(F.sequence(F.col("era__") * ERA, F.least(F.col("era__") * ERA + ERA - 1, "epochs__"))))
     placed = placed.withColumn("g__", F.col("epoch") * F.col("size__") + F.col("place__") + F.col("shift__"))
     placed = placed.withColumn("block", F.expr(f"g__ div {block}")).join(plan, ["source__", "block"])
     placed = placed.select("row__", "epoch", "block", "slot", (F.col("slot") * block + F.col("g__") % block).alias("position"))
-    return held.join(placed, "row__").select(*[f"`{c}`" for c in kept], "epoch", "block", "slot", "position")
+    out = held.join(placed, "row__").select(*[f"`{c}`" for c in kept], "epoch", "block", "slot", "position")
+    if not ordered:
+        return out
+    runs = parallelism(spark)
+    return out.repartitionById(runs, F.expr(f"cast(position * {runs} div {max(1, length * block)} as int)")).sortWithinPartitions("position")
+

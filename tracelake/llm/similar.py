@@ -5,20 +5,23 @@ its shingles under different hashes (two texts that are 0.8 alike meet in none w
 0.0004), and the components of operator 10's SimHash over shingles of the same width. No candidate
 links without its Jaccard being counted. Texts with the same shingles collapse to one before.
 
-First each member of a bucket (a band or a SimHash component) is held to the bucket's first and to
-the one before it, which joins the large groups by few pairs; then all pairs of a band that are
-still in different components are held to each other. So what a band brings together is never left
-uncounted.
+First each member of a bucket (a band or a SimHash component) is held to the bucket's two hubs, its
+least and its greatest key, which joins the large groups by few pairs; then those of a band that are
+still in different components, and not too unlike in size, are held to each other. So what a band
+brings together is never left uncounted.
 
 Defined cases: a null text counts as empty; texts without words are alike; a text of fewer words
-than a shingle is one shingle; a null id takes part, and a component without any id has a null id.
+than a shingle is one shingle; repeated rows and copies share a component; ties go to the smaller
+id; a null id takes part, and a component without any id has a null id. Ids may be structs. Texts of
+any length are read whole. Input columns other than the two named are not read. An empty table
+gives an empty table.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -89,32 +92,45 @@ def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     return cut(both.where(F.col("common") * down >= (F.size("x") + F.size("y") - F.col("common")) * up).select("a", "b"), "alike")
 
 
-def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
-    """(id, component_id) of every row: the smallest id reachable over pairs that are alike."""
+def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
+    """(id, key) of every row, and (key, least id, root) of every distinct set."""
     spark = docs.sparkSession
     ship(spark)
     named = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     kind = T.StructType([named.schema["id"], *[T.StructField(n, t) for n, t in (("key", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("grams", T.ArrayType(T.LongType())))]])
     rows = cut(named.mapInArrow(_sets(width), kind), "sets")
-    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands")), "distinct")
-    members = sets.select("key", F.explode("bands").alias("band"))
-    shared = members.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.size("grams")).alias("n")), "distinct")
+    members = sets.select("key", "n", F.explode("bands").alias("band"))
+    shared = members.groupBy("band").agg(F.count("*").alias("in")).where("in > 1").select("band")
     members = cut(members.join(shared, "band"), "bands")
     prints = components(simhash.print_links(sets.select("fp").distinct()))
     buckets = sets.join(prints, sets["fp"] == prints["node"], "left").select(F.struct(F.lit(0).alias("kind"), F.coalesce("root", "fp").alias("band")).alias("band"), "key")
     buckets = members.select(F.struct(F.lit(1).alias("kind"), "band").alias("band"), "key").unionAll(buckets)
-    in_band = Window.partitionBy("band").orderBy("key")
-    first = buckets.select("key", F.lag("key").over(in_band).alias("before"), F.first("key").over(in_band).alias("hub"))
-    tried = cut(first.select("key", F.explode(F.array("before", "hub")).alias("a")).where("a < key").select("a", F.col("key").alias("b")).distinct(), "tried")
+    hubs = buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    held = buckets.join(hubs, "band").select("key", F.explode(F.array("low", "high")).alias("hub")).where("hub <> key")
+    tried = cut(held.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct(), "tried")
     links = _confirmed(tried, rows)
     roots = components(links)
-    placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
+    placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = cut(placed.join(open_, "band"), "open")
-    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"))
-    more = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
+    up, down = ALIKE
+    near = left.withColumnRenamed("key", "a").join(other, "band").where(f"a < b and root <> other and n * {down} >= m * {up} and m * {down} >= n * {up}")
+    more = near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
     joined = components(links.unionAll(_confirmed(cut(more, "pairs"), rows)))
-    ranked = sets.join(joined, sets["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+    return rows.select("id", "key"), sets.join(joined, sets["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """(id, component_id) of every row: the smallest id reachable over pairs that are alike."""
+    rows, ranked = _grouped(docs, id, text, width)
     own = ranked.groupBy("root").agg(F.min("least").alias("component_id"))
     placed = ranked.join(own, "root").select("key", "component_id")
-    return rows.select("id", "key").join(placed, "key").select(F.col("id").alias(id), "component_id")
+    return rows.join(placed, "key").select(F.col("id").alias(id), "component_id")
+
+
+def representatives(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+    """The smallest id of each component, in column `id`: texts and their rows are not joined for it."""
+    _, ranked = _grouped(docs, id, text, width)
+    return ranked.groupBy("root").agg(F.min("least").alias(id)).select(id)
