@@ -8,44 +8,75 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import langid, mixing, pieces, secrets, similar
-from tracelake.llm.common import shared_folder, table
+from tracelake.llm.common import drop, scratch, shared_folder, table
 from tracelake.llm.queries import model_path
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that language ID, taught by the labelled ones, doesn't reject; a missing lang is filled in."""
+    """Documents that language ID, taught by the labelled ones, doesn't reject; a missing lang is filled in.
+
+    Null texts, empty ones and texts without a letter go; very long ones are read whole; repeated rows
+    are judged each.
+    """
     found = langid.identify(docs, langid.train(docs)).where(~F.col("rejected"))
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group of near-duplicates; of repeated rows one.
+    """One row of each group of near-duplicates: that of the smallest doc_id, null being last; of repeated rows one.
 
-    Near-duplicates share 0.8 or more of their five-word shingles. A row without a doc_id can't be named as another's copy and stays.
+    Near-duplicates share 0.8 or more of their five-word shingles. Rows are told apart by all that they
+    hold, so texts that have nothing in common stay whatever their doc_id. Null and empty texts are
+    one group.
     """
-    groups = similar.near_duplicates(docs.select("doc_id", "text"))
-    kept = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("source", "lang", "n_chars")))
-    once = docs.join(kept, "doc_id", "left_semi").withColumn("nth__", nth).where("nth__ = 1")
-    return once.select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    marks = F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *reversed(docs.columns))
+    marked = docs.withColumns({"mark__": marks[0], "check__": marks[1]})
+    named = marked.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "mark__", "check__").alias("row__"), "text")
+    kept = similar.representatives(named, "row__").select("row__.mark__", "row__.check__")
+    # Repeated rows are cut before texts are moved; the join then finds them where it needs them.
+    nth = F.row_number().over(Window.partitionBy("mark__", "check__").orderBy("mark__"))
+    once = marked.withColumn("nth__", nth).where("nth__ = 1")
+    return once.join(kept, ["mark__", "check__"], "left_semi").select(*docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by their kind; n_chars follows a changed text."""
+    """All documents, secrets replaced by their kind; n_chars follows a changed text.
+
+    Null and empty texts stay as they are; very long ones are scanned whole; repeated rows stay.
+    """
     clean = secrets.redact(docs.withColumn("before__", F.length("text")))
     n = F.when(F.length("text") != F.col("before__"), F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return clean.withColumn("n_chars", n).select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mix; those of sources that weigh more than their share appear again."""
-    return mixing.mix(docs).orderBy("position").select(*docs.columns)
+    """All documents in the order of the mix; those of sources that weigh more than their share appear again.
+
+    Partition k holds the k-th run of positions in order, so the files carry the order. Texts of any
+    length, null ones too, are rows like any other.
+    """
+    return mixing.mix(docs, ordered=True).select(*docs.columns)
+
+
+def with_position(docs: DataFrame) -> DataFrame:
+    """`docs` as read from files, with the row's place in them, file by file, in column `position`."""
+    part = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).try_cast("long")
+    docs = docs.select("*", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name")).alias("file__"), F.col("_metadata.row_index").alias("row__"))
+    files = docs.groupBy("file__").agg(F.count("*").alias("n__"))  # a row for each file
+    before = Window.orderBy("file__").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
+    return docs.join(files, "file__").withColumn("position", F.col("before__") + F.col("row__")).drop("file__", "before__", "row__")
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text in place of the text."""
-    ids = pieces.encode_documents(docs, model_path(), keep=["doc_id", "source", "lang", "n_chars"])
-    return ids.select("doc_id", "source", "lang", "n_chars", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """Every text as token ids, and the text that they decode to in place of the text; `position` is the place in the mix.
+
+    A null text has no ids and decodes to the empty text.
+    """
+    docs = with_position(docs)
+    kept = [c for c in docs.columns if c != "text"]
+    ids = pieces.encode_documents(docs, model_path(), keep=kept, decoded="text")
+    return ids.select(*kept, "text", F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [
@@ -61,10 +92,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over `documents`, each written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The stages over `documents`, each written to the shared folder and read again.
+
+    What a stage wrote for itself is removed at its end, and its own result when the next one is written.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         path = f"{shared_folder(spark)}/pipeline-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            drop(spark, before)
+        docs, before = spark.read.parquet(path), path
     return docs
