@@ -2,45 +2,51 @@
 
 A text becomes a normalised TF-IDF vector of hashed byte trigrams (letters only, lower case, whole
 text). Training counts document frequencies over every training row and clusters a bounded sample
-of each language into several centroids by spherical k-means. A text gets the language of the
-centroid with the largest cosine, which is its score. It is rejected if it is farther from that
-centroid than nearly all of the centroid's own training texts, with a wide margin.
-
-Defined cases: a null text, or one without a letter, is `und` with score 0 and rejected; rows
-without a language teach nothing; with no training row every text is `und`, score 0, and only the
-texts without a letter are rejected; ties go to the language first in order; columns other than
-the named ones are carried along, and output columns replace input columns of the same name.
+of each language (PER_LANGUAGE different texts, those of the smallest hashes) into several centroids
+by spherical k-means. A text gets the language of the centroid with the largest cosine, which is its
+score. It is rejected if it is farther from that centroid than nearly all of the centroid's own
+training texts, with a wide margin.
+
+Defined cases: a null or empty text, or one without a letter (str.isalpha), is `und` with score 0
+and rejected; rows without a language teach nothing; with no training row every text is `und`, score
+0, and only the texts without a letter are rejected; repeated rows count in the frequencies each and
+are sampled once, whatever their ids; ties go to the language first in order; texts of any length are
+read whole; columns other than the named ones are carried along, and output columns replace input
+columns of the same name; an empty table gives an empty table. More than LANGUAGES languages raise,
+as the model holds a matrix row for each.
 """
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from tracelake.llm.common import cut
 from tracelake.session import ship
 
 WIDTH = 4096
 #: Training texts of a language that the centroids are fitted on, at most.
 PER_LANGUAGE = 500
-CENTROIDS = 4
+#: Rows that are handed on for the sample, as a multiple of it, so that the error of the count of different texts leaves enough.
+SPARE = 1.5
+CENTROIDS, LANGUAGES = 4, 2000
 #: A text is rejected below this part of the low percentile of its centroid's own cosines; a text of
 #: fewer distinct trigrams than LONG reaches less by nature, by the root of its share of them.
 MARGIN, PERCENTILE, LONG = 0.5, 2.0, 200
 #: Texts vectorised at once, and characters up to which they are joined.
 ROWS = 256
 
-_LETTER = re.compile(r"[^\W\d_]")
 _SEEN = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
 
 
 def counts(text: str | None) -> np.ndarray | None:
     """Hashed trigram counts of a whole text, or None if it has no letter."""
-    if not text or not _LETTER.search(text):
+    if not text or not any(map(str.isalpha, text)):
         return None
     b = np.frombuffer(b" " + text.lower().encode().translate(_SEEN) + b" ", np.uint8).astype(np.uint32)
     b = b[np.r_[True, (b[1:] != 32) | (b[:-1] != 32)]]
@@ -99,58 +105,67 @@ def clustered(x: np.ndarray, k: int, rounds: int = 20) -> tuple[np.ndarray, np.n
     return c, own
 
 
-def _taught(sample_to: int):
-    def run(batches):
-        seen, rows = np.zeros(WIDTH, np.int64), 0
-        schema = pa.schema([("lang", pa.string()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
-        for batch in batches:
-            out = []
-            for lang, text, mark, chosen in zip(*(c.to_pylist() for c in batch.columns)):
-                c = counts(text)
-                if c is None:
-                    continue
-                at = np.flatnonzero(c)
-                seen[at] += 1
-                rows += 1
-                if chosen:
-                    out.append((lang, mark, at.astype(np.int32), c[at]))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], schema.field(k).type) for k in range(4)], schema=schema)
-        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([rows], pa.int64()), pa.array([None], schema.field("at").type), pa.array([seen], schema.field("n").type)], schema=schema)
-
-    return run
+_TAUGHT = pa.schema([("lang", pa.string()), ("mark", pa.int64()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.int64()))])
+
+
+def _taught(batches):
+    """Of rows (lang, text, mark, chosen): the counts of the chosen ones, and a last row (null, rows, null, document frequencies)."""
+    seen, rows, marks = np.zeros(WIDTH, np.int64), 0, set()
+    for batch in batches:
+        out = []
+        for lang, text, mark, chosen in zip(*(c.to_pylist() for c in batch.columns)):
+            c = counts(text)
+            if c is None:
+                continue
+            at = np.flatnonzero(c)
+            seen[at] += 1
+            rows += 1
+            if chosen and (lang, mark) not in marks:
+                marks.add((lang, mark))
+                out.append((lang, mark, at.astype(np.int32), c[at]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*out), _TAUGHT)], schema=_TAUGHT)
+    yield pa.RecordBatch.from_arrays([pa.array([x], t.type) for x, t in zip((None, rows, None, seen), _TAUGHT)], schema=_TAUGHT)
 
 
 def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id") -> Model:
     """A model of the labelled rows.
 
-    One pass over all of them counts document frequencies; the same pass returns the sample, of
-    about PER_LANGUAGE rows a language by the hash of `key`, to the driver.
+    One pass over all of them counts document frequencies, which Spark adds up; the same pass hands on
+    the rows whose hash of key and text is small enough for the sample. The driver gets WIDTH counts
+    and the sample.
     """
     ship(rows.sparkSession)
-    known = rows.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`")).alias("mark"))
-    n = {x: c for x, c in known.groupBy("lang").count().collect()}  # a row for each language
+    known = rows.where(F.col(f"`{lang}`").isNotNull()).select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").cast("string").alias("text"), F.xxhash64(F.col(f"`{key}`"), F.col(f"`{text}`")).alias("mark"))
+    different = {x: c for x, c in known.groupBy("lang").agg(F.approx_count_distinct("mark")).limit(LANGUAGES + 1).collect()}
+    if len(different) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
     empty = Model([], np.ones(WIDTH, np.float32), np.zeros((0, WIDTH), np.float32), np.zeros(0, int), np.zeros(0))
-    if not n:
+    if not different:
         return empty
-    part = F.create_map(*[F.lit(x) for l, c in n.items() for x in (l, min(1.0, PER_LANGUAGE / c))])
+    part = F.create_map(*[F.lit(x) for l, c in different.items() for x in (l, min(1.0, SPARE * PER_LANGUAGE / max(1, c)) if c > PER_LANGUAGE else 1.0)])
     chosen = F.pmod(F.col("mark"), F.lit(1 << 30)) < part[F.col("lang")] * float(1 << 30)
-    found = known.select("lang", "text", "mark", chosen.alias("chosen")).mapInArrow(_taught(PER_LANGUAGE), "lang string, mark long, at array<int>, n array<long>").collect()
-    total = [x for x in found if x["lang"] is None]
-    docs, seen = sum(x["mark"] for x in total), np.sum([x["n"] for x in total], axis=0)
+    found = cut(known.select("lang", "text", "mark", chosen.alias("chosen")).mapInArrow(_taught, "lang string, mark long, at array<int>, n array<long>"), "taught")
+    total = found.where("lang is null")
+    docs = total.agg(F.sum("mark")).first()[0] or 0
+    seen = np.zeros(WIDTH)
+    for r in total.select(F.posexplode("n").alias("at", "n")).groupBy("at").agg(F.sum("n").alias("n")).collect():  # WIDTH rows
+        seen[r["at"]] = r["n"]
     model = Model([], np.log((1 + docs) / (1 + seen)).astype(np.float32) + 1, empty.centroids, empty.owner, empty.least)
+    order = F.pmod(F.col("mark"), F.lit(1 << 30)), F.col("mark")
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
+    sample = found.where("lang is not null").dropDuplicates(["lang", "mark"]).withColumn("nth__", nth).where(F.col("nth__") <= PER_LANGUAGE)
+    taken: dict[str, list] = {}
+    for r in sample.orderBy("lang", "nth__").collect():  # PER_LANGUAGE rows a language
+        c = np.zeros(WIDTH, np.float32)
+        c[r["at"]] = r["n"]
+        taken.setdefault(r["lang"], []).append(c)
     parts, owner, least = [], [], []
-    for k, name in enumerate(sorted(n)):
-        own = sorted((x for x in found if x["lang"] == name), key=lambda x: (x["mark"], x["at"], x["n"]))[:PER_LANGUAGE]
+    for k, name in enumerate(sorted(different)):
         model.langs.append(name)
-        if not own:
+        if name not in taken:
             continue
-        rows_ = []
-        for x in own:
-            c = np.zeros(WIDTH)
-            c[x["at"]] = x["n"]
-            rows_.append(c)
-        v = model.weighted(rows_)
+        v = model.weighted(taken[name])
         c, to = clustered(v, CENTROIDS)
         like = (v * c[to]).sum(axis=1)
         low = np.percentile(like, PERCENTILE)
@@ -163,30 +178,26 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     return model
 
 
-def language(spark: SparkSession, text: Column, model: Model) -> Column:
-    """struct(lang_pred, score, rejected) of a text column."""
+def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """`docs` with lang_pred, score and rejected.
+
+    A pass of its own: as column functions they would run again in a filter on one of them.
+    """
+    spark = docs.sparkSession
     ship(spark)
     held = spark.sparkContext.broadcast(model)  # languages x centroids x WIDTH floats
+    made = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
+    kept = [c for c in docs.columns if c.lower() not in made]
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text__"), *[F.col(f"`{c}`") for c in kept])
 
-    @F.arrow_udf("struct<lang_pred:string,score:double,rejected:boolean>")
-    def predict(texts: pa.Array) -> pa.Array:
-        lang, score, rejected = [], [np.empty(0)], [np.empty(0, bool)]
-        for k in range(0, len(texts), ROWS):
-            a, b, c = held.value.predict(texts.slice(k, ROWS).to_pylist())
-            lang += a
-            score.append(b)
-            rejected.append(c)
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(np.concatenate(score)), pa.array(np.concatenate(rejected))], ["lang_pred", "score", "rejected"])
-
-    return predict(text)
-
+    def predict(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                part = batch.slice(k, ROWS)
+                lang, score, rejected = held.value.predict(part.column(0).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[1:], *made])
 
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """`docs` with lang_pred, score and rejected."""
-    found = language(docs.sparkSession, F.col(f"`{text}`").cast("string"), model)
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("lang_pred", "score", "rejected")]
-    out = docs.select(*kept, found.alias("found__"))
-    return out.select(*kept, "found__.lang_pred", "found__.score", "found__.rejected")
+    return rows.mapInArrow(predict, T.StructType([*rows.schema.fields[1:], *[T.StructField(c, t) for c, t in made.items()]]))
 
 
 def fold(key: Column) -> Column:
