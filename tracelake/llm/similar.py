@@ -7,8 +7,8 @@ links without its Jaccard being counted. Texts with the same shingles collapse t
 
 First each member of a bucket (a band or a SimHash component) is held to the bucket's two hubs, its
 least and its greatest key, which joins the large groups by few pairs; then those of a band that are
-still in different components, and not too unlike in size, are held to each other. So what a band
-brings together is never left uncounted.
+still in different components are held to each other. So what a band brings together is never left
+uncounted. Shingle sets are kept for the texts that are compared only.
 
 Defined cases: a null text counts as empty; texts without words are alike; a text of fewer words
 than a shingle is one shingle; repeated rows and copies share a component; ties go to the smaller
@@ -66,29 +66,49 @@ def key(own: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce(_mixed(own + _mixed(places + np.uint64(1))))) ^ len(own) if len(own) else 0
 
 
-def _sets(width: int):
+def _shingles(texts: pa.Array, width: int) -> list[np.ndarray]:
+    return [np.array(simhash.shingle_hashes(x.as_py(), width), np.uint64) for x in texts]
+
+
+def _marks(width: int):
+    """Of rows (id, mark, text): (id, mark, key, fp, bands)."""
+
     def run(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
-                hashes = [np.array(simhash.shingle_hashes(x.as_py(), width), np.uint64) for x in part.column(1)]
+                hashes = _shingles(part.column(2), width)
                 fp = simhash.majority(np.concatenate(hashes), np.array([len(h) for h in hashes]))
                 own = [np.unique(h) for h in hashes]
-                lists = [pa.array([x.view(np.int64) for x in of], pa.list_(pa.int64())) for of in ([bands(x) for x in own], own)]
-                keys = pa.array(np.array([key(x) for x in own], np.uint64).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), keys, pa.array(fp.view(np.int64)), *lists], ["id", "key", "fp", "bands", "grams"])
+                keys = np.array([key(x) for x in own], np.uint64)
+                lists = pa.array([bands(x).view(np.int64) for x in own], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(keys.view(np.int64)), pa.array(fp.view(np.int64)), lists], ["id", "mark", "key", "fp", "bands"])
+
+    return run
+
+
+def _sets(width: int):
+    """Of rows (text): (key, grams), the hashes of its different shingles."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, ROWS):
+                own = [np.unique(h) for h in _shingles(batch.column(0).slice(k, ROWS), width)]
+                keys = np.array([key(x) for x in own], np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["key", "grams"])
 
     return run
 
 
-def _confirmed(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of pairs of keys (a, b) those whose sets are alike."""
+def _confirmed(pairs: DataFrame, sets: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """Of pairs of keys (a, b) those whose sets are alike: sets are made again from one text of each key, and of no other."""
     up, down = ALIKE
     used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    sets = rows.select("key", "grams").join(used, "key", "left_semi").dropDuplicates(["key"])
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
-    shorter, longer = F.least(F.size("x"), F.size("y")), F.greatest(F.size("x"), F.size("y"))
-    both = both.where(shorter * down >= longer * up).withColumn("common", F.size(F.array_intersect("x", "y")))
+    marks = cut(sets.join(used, "key").select("mark"), "used")
+    grams = named.join(marks, "mark", "left_semi").select("text").mapInArrow(_sets(width), "key long, grams array<long>").dropDuplicates(["key"])
+    grams = cut(grams, "grams")
+    both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
+    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return cut(both.where(F.col("common") * down >= (F.size("x") + F.size("y") - F.col("common")) * up).select("a", "b"), "alike")
 
 
@@ -97,10 +117,11 @@ def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame
     spark = docs.sparkSession
     ship(spark)
     named = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
-    kind = T.StructType([named.schema["id"], *[T.StructField(n, t) for n, t in (("key", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType())), ("grams", T.ArrayType(T.LongType())))]])
-    rows = cut(named.mapInArrow(_sets(width), kind), "sets")
-    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min("fp").alias("fp"), F.first("bands").alias("bands"), F.first(F.size("grams")).alias("n")), "distinct")
-    members = sets.select("key", "n", F.explode("bands").alias("band"))
+    named = named.withColumn("mark", F.xxhash64("id", "text"))
+    kind = T.StructType([named.schema["id"], *[T.StructField(n, t) for n, t in (("mark", T.LongType()), ("key", T.LongType()), ("fp", T.LongType()), ("bands", T.ArrayType(T.LongType())))]])
+    rows = cut(named.select("id", "mark", "text").mapInArrow(_marks(width), kind), "marks")
+    sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.min("fp").alias("fp")), "sets")
+    members = rows.select("key", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("in")).where("in > 1").select("band")
     members = cut(members.join(shared, "band"), "bands")
     prints = components(simhash.print_links(sets.select("fp").distinct()))
@@ -109,16 +130,14 @@ def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame
     hubs = buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
     held = buckets.join(hubs, "band").select("key", F.explode(F.array("low", "high")).alias("hub")).where("hub <> key")
     tried = cut(held.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct(), "tried")
-    links = _confirmed(tried, rows)
+    links = _confirmed(tried, sets, named, width)
     roots = components(links)
-    placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", "n", F.coalesce("root", "key").alias("root"))
+    placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
     open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
     left = cut(placed.join(open_, "band"), "open")
-    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
-    up, down = ALIKE
-    near = left.withColumnRenamed("key", "a").join(other, "band").where(f"a < b and root <> other and n * {down} >= m * {up} and m * {down} >= n * {up}")
-    more = near.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    joined = components(links.unionAll(_confirmed(cut(more, "pairs"), rows)))
+    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"))
+    more = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
+    joined = components(links.unionAll(_confirmed(cut(more, "pairs"), sets, named, width)))
     return rows.select("id", "key"), sets.join(joined, sets["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
 
 
