@@ -8,19 +8,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.rx import Rx, quoted
+from tracelake.rx import Rx, holds, needed, quoted
 
 
 def shannon_entropy(text: Column) -> Column:
     """Bits a character; 0 for an empty or null text."""
     n = F.length(text)
-
-    def term(c: Column) -> Column:
-        p = (n - F.length(F.replace(text, c, F.lit("")))) / n
-        return -p * F.log2(p)
-
     chars = F.array_sort(F.array_distinct(F.split(text, "")))
-    return F.coalesce(F.when(n > 0, F.aggregate(F.transform(F.filter(chars, lambda c: c != ""), term), F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+    shares = F.transform(F.filter(chars, lambda c: c != ""), lambda c: 1 - F.length(F.replace(text, c, F.lit(""))) / n)
+    return F.coalesce(F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))), F.lit(0.0))
 
 
 def shannon_entropy_sql(text: str) -> str:
@@ -80,18 +76,72 @@ SYMBOLS = (
     ("§andcmd", r"&&\s*([a-z])"),
     ("§backtick", r"`([a-z])"),
 )
+#: What a sign's token means to a reader.
+LABELS = {
+    "§traversal": "path traversal (../)",
+    "§jndi": "JNDI lookup",
+    "§xss": "<script>",
+    "§union_select": "UNION SELECT",
+    "§tautology": "OR 1=1",
+    "§sqlcomment": "SQL comment (--)",
+    "§urlenc": "URL encoding (%xx)",
+    "§b64cmd": "Base64 command",
+    "§sensitivefile": "sensitive file (/etc/passwd)",
+    "§creddump": "credential dump",
+    "§cmdsep": "command separator (;)",
+    "§pipe": "pipe (|)",
+    "§cmdsubst": "command substitution ($())",
+    "§andcmd": "chained command (&&)",
+    "§backtick": "backtick (`)",
+}
+
+
+def labelled(token: Column) -> Column:
+    """What a token means to a reader; words stand for themselves."""
+    out = token
+    for name, label in LABELS.items():
+        out = F.when(token == name, label).otherwise(out)
+    return out
+
+
+def labelled_sql(token: str) -> str:
+    return f"CASE {token} " + " ".join(f"WHEN '{k}' THEN {quoted(v)}" for k, v in LABELS.items()) + f" ELSE {token} END"
+
+
 WORD, LONG_NUMBER, LONGEST = "[a-z0-9_]{2,}", 4, 24
 
 
+def _may_hold_signs(lower: Column) -> Column:
+    """A cheap test that holds wherever one of the signs occurs."""
+    rare = [pattern for name, pattern in SYMBOLS if name != "§tautology"]  # its literal part, "or", is common
+    words = sorted(set().union(*(needed(p) for p in rare)))
+    return holds(lower, words) | lower.rlike(r"or\s+1|or\s*'1'")
+
+
 def with_tokens(df: DataFrame, text: str, out: str = "tokens") -> DataFrame:
-    """`df` with the tokens of a text: signs first, then words; long numbers and long words are left out."""
-    now = df.withColumn("scratch__", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    """`df` with the tokens of a text: signs first, then words; long numbers and long words are left out.
+
+    A step each sign, as each works on what the one before left; a text without any is null
+    meanwhile, which costs nothing. `token_rows` explodes the result.
+    """
+    now = df.withColumn("lower__", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    now = now.withColumn("scratch__", F.when(_may_hold_signs(F.col("lower__")), F.col("lower__")))
     for k, (_, pattern) in enumerate(SYMBOLS):
         rx = Rx(pattern, False).java
         now = now.withColumns({f"n{k}__": F.regexp_count("scratch__", F.lit(rx)), "scratch__": F.regexp_replace("scratch__", rx, " $1" if "(" in pattern.replace(r"\(", "") else " ")})
-    signs = [F.array_repeat(F.lit(name), F.col(f"n{k}__")) for k, (name, _) in enumerate(SYMBOLS)]
-    words = F.filter(F.regexp_extract_all("scratch__", F.lit(WORD), F.lit(0)), lambda w: ~(w.rlike(r"^[0-9]+\z") & (F.length(w) > LONG_NUMBER)) & (F.length(w) <= LONGEST))
-    return now.withColumn(out, F.concat(*signs, words)).drop("scratch__", *[f"n{k}__" for k in range(len(SYMBOLS))])
+    signs = [F.array_repeat(F.lit(name), F.coalesce(f"n{k}__", F.lit(0))) for k, (name, _) in enumerate(SYMBOLS)]
+    left = F.coalesce("scratch__", "lower__")
+    words = F.filter(F.regexp_extract_all(left, F.lit(WORD), F.lit(0)), lambda w: ~(w.rlike(r"^[0-9]+\z") & (F.length(w) > LONG_NUMBER)) & (F.length(w) <= LONGEST))
+    return now.withColumn(out, F.concat(*signs, words)).drop("lower__", "scratch__", *[f"n{k}__" for k in range(len(SYMBOLS))])
+
+
+def token_rows(df: DataFrame, text: str, *kept: Column | str) -> DataFrame:
+    """(kept columns, token) of every token of a text; `kept` may use the array `tokens`.
+
+    The outer form keeps Spark from testing the array's size below the steps that make it, where every
+    step would be worked out again for the test.
+    """
+    return with_tokens(df, text).select(*kept, F.explode_outer("tokens").alias("token")).where("token is not null")
 
 
 def tokens_sql(source: str, text: str, out: str = "tokens") -> str:

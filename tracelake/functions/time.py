@@ -13,12 +13,13 @@ from pyspark.sql import functions as F
 
 from tracelake.rx import Rx
 
+# The year of times without one, the four forms in the order in which they are tried, and months.
 YEAR = 2026
 APACHE = Rx(r"\[(\d{2})/([A-Za-z]{3})/(\d{4}):(\d{2}):(\d{2}):(\d{2})(?:\s*([+-]\d{4}))?", False)
 ISO = Rx(r"(\d{4})-(\d{2})-(\d{2})[T ](\d{2}):(\d{2}):(\d{2})(?:\.\d+)?", False)
 SYSLOG = Rx(r"\b([A-Za-z]{3})\s+(\d{1,2})\s+(\d{2}):(\d{2}):(\d{2})\b", False)
 EPOCH = Rx(r"\b(1[0-9]{9})(\d{3})?\b", False)
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 
 
 def _found(text: Column, rx: Rx) -> Column:
@@ -27,8 +28,8 @@ def _found(text: Column, rx: Rx) -> Column:
 
 def _month(name: Column) -> Column:
     """Two digits, or null if it is no month."""
-    at = F.position(F.lower(name), F.lit(MONTHS))
-    return F.when((at > 0) & (at % 3 == 1), F.lpad(((at + 2) / 3).cast("int").cast("string"), 2, "0"))
+    at = F.array_position(F.array(*map(F.lit, MONTHS)), F.lower(name))
+    return F.when(at > 0, F.lpad(at.cast("string"), 2, "0"))
 
 
 def _stamp(*parts: Column | str) -> Column:
@@ -66,8 +67,8 @@ def parse_timestamp_sql(text: str) -> str:
     a, i, s, e = (f"regexp_extract({text}, '{rx.re2}')" for rx in (APACHE, ISO, SYSLOG, EPOCH))
 
     def month(name: str) -> str:
-        at = f"instr('{MONTHS}', lower({name}))"
-        return f"CASE WHEN {name} <> '' AND {at} > 0 AND {at} % 3 = 1 THEN lpad(cast(({at} + 2) // 3 AS STRING), 2, '0') END"
+        at = f"list_position({list(MONTHS)}, lower({name}))"
+        return f"CASE WHEN {at} > 0 THEN lpad(cast({at} AS STRING), 2, '0') END"
 
     off = f"trim({a}[22:])"
     minutes = f"CASE WHEN length({off}) = 5 THEN (CASE WHEN {off}[1] = '-' THEN -1 ELSE 1 END) * (cast({off}[2:3] AS INT) * 60 + cast({off}[4:5] AS INT)) ELSE 0 END"

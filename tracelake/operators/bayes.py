@@ -1,7 +1,7 @@
 """Multinomial naive Bayes over tokens, as joins and aggregates.
 
 The model is a table of counts, one row a token of the vocabulary and one column a label. A text's
-tokens join it by broadcast (its size is that of the corpus, not of the data), and a line's log
+tokens join it (its size is that of the corpus, so it is broadcast if that is small), and a line's log
 probabilities are sums: tokens of a line meet on the map side already.
 """
 
@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import tokens_sql, with_tokens
+from tracelake.functions.text import token_rows, tokens_sql, with_tokens
+from tracelake.store import cut
 
 ALPHA, FOLDS, SURE = 1.0, 5, 0.3
 DIGITS = 6
@@ -30,7 +31,7 @@ class Model:
 
 def token_counts(docs: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """(label, token, n) over labelled texts."""
-    return with_tokens(docs, text).select(label, F.explode("tokens").alias("token")).groupBy(label, "token").agg(F.count("*").alias("n"))
+    return token_rows(docs, text, label).groupBy(label, "token").agg(F.count("*").alias("n"))
 
 
 def fit(docs: DataFrame, text: str = "text", label: str = "label", order: str = "doc") -> Model:
@@ -59,7 +60,8 @@ def predict(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
     """(key, label, confidence) of every text; tokens outside the vocabulary don't count."""
     n = len(model.labels)
     tokens = with_tokens(df.select(key, text), text).select(key, F.explode_outer("tokens").alias("token"))
-    met = tokens.join(F.broadcast(model.table), "token", "left")
+    # Spark broadcasts the table if it is small, as that of our corpus is; a caller's may be of any size.
+    met = tokens.join(model.table, "token", "left")
     sums = met.groupBy(key).agg(*[F.round(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) + model.prior[k], DIGITS).alias(f"s{k}") for k in range(n)])
     label, p = _posterior([F.col(f"s{k}") for k in range(n)], model.labels)
     return sums.select(key, label.alias("label"), p.alias("confidence"))
@@ -83,7 +85,7 @@ def cross_validated(docs: DataFrame, folds: int = FOLDS, text: str = "text", lab
 
     place = F.row_number().over(Window.partitionBy(label).orderBy(order))  # the corpus is small
     dealt = docs.withColumn("fold", (place - 1) % folds)
-    tokens = with_tokens(dealt, text).select(order, "fold", label, F.explode("tokens").alias("token"))
+    tokens = cut(token_rows(dealt, text, order, "fold", label), "tokens")  # five models and the tests use it
     per = tokens.groupBy("fold", label, "token").agg(F.count("*").alias("n"))
     fold_ids = docs.sparkSession.range(folds).select(F.col("id").cast("int").alias("test"))
     kept = F.broadcast(fold_ids).join(per, F.col("test") != F.col("fold"))

@@ -34,13 +34,16 @@ def haystack() -> Column:
 def rule_hits(entries: DataFrame) -> DataFrame:
     """A row for each entry and signature that hits it: the entry's columns and the signature's."""
     text = haystack()
+    low = entries.withColumn("lower__", F.lower(text))
+    numbers = F.array_compact(F.array(*[F.when(any_of(text, s.patterns, F.col("lower__")), F.lit(no)) for no, s in enumerate(SIGNATURES)]))
+    hits = low.withColumn("rule_no", F.explode(numbers)).drop("lower__")
+    return with_rules(hits)
 
-    def one(no: int, s) -> Column:
-        rule = F.struct(F.lit(no).alias("rule_no"), F.lit(s.code).alias("code"), F.lit(s.severity).alias("severity"), F.lit(s.technique).alias("technique_id"), F.lit(s.name).alias("technique"), F.lit(s.tactic).alias("tactic_id"), F.lit(",".join(s.cves)).alias("cves"))
-        return F.when(any_of(text, s.patterns), rule)
 
-    rules = F.filter(F.array(*[one(no, s) for no, s in enumerate(SIGNATURES)]), lambda r: r.isNotNull())
-    return entries.withColumn("rule__", F.explode(rules)).select("*", "rule__.*").drop("rule__")
+def with_rules(hits: DataFrame) -> DataFrame:
+    """`hits` (with rule_no) and the columns of their signatures."""
+    rules = F.array(*[F.struct(F.lit(s.code).alias("code"), F.lit(s.severity).alias("severity"), F.lit(s.technique).alias("technique_id"), F.lit(s.name).alias("technique"), F.lit(s.tactic).alias("tactic_id"), F.lit(",".join(s.cves)).alias("cves")) for s in SIGNATURES])
+    return hits.withColumn("rule__", F.get(rules, F.col("rule_no"))).select("*", "rule__.*").drop("rule__")
 
 
 def hits_sql(entries: str) -> str:
@@ -52,37 +55,54 @@ def hits_sql(entries: str) -> str:
       JOIN (VALUES {rules}) AS r(rule_no, code, severity, technique_id, technique, tactic_id, cves) ON e.no = r.rule_no"""
 
 
+def counts() -> list[Column]:
+    """Aggregates of a source address: missing (404) requests, and the first line of those and of denied ones (401, 403)."""
+    denied, missing = F.col("status_code").isin(401, 403), F.col("status_code") == 404
+    first = lambda c: F.min(F.when(c, F.struct("line_number", "ts")))
+    return [first(denied).alias("first_denied"), F.count_if(missing).alias("missing"), first(missing).alias("first_missing")]
+
+
 def behaviour(entries: DataFrame) -> DataFrame:
     """Per source address: counts of denied (401, 403) and missing (404) requests, and the first line of each kind.
 
     One grouping with map-side combining; the rows of an address never meet.
     """
-    denied, missing = F.col("status_code").isin(401, 403), F.col("status_code") == 404
-    first = lambda c: F.min(F.when(c, F.struct("line_number", "ts")))
-    return entries.where("source_ip is not null").groupBy("source_ip").agg(F.count_if(denied).alias("denied"), first(denied).alias("first_denied"), F.count_if(missing).alias("missing"), first(missing).alias("first_missing"))
+    denied = F.count_if(F.col("status_code").isin(401, 403)).alias("denied")
+    return entries.where("source_ip is not null").groupBy("source_ip").agg(denied, *counts())
 
 
-def _finding(df: DataFrame, first: str, category: str, no: int, severity: Column, count: str, codes: str) -> DataFrame:
+def _finding(first: str, category: str, no: int, severity: Column, count: str, codes: str) -> Column:
     evidence = F.concat(F.col("source_ip"), F.lit(": "), F.col(count).cast("string"), F.lit(f"× ({codes})"))
-    return df.select(F.col(f"{first}.line_number").alias("line_number"), F.col(f"{first}.ts").alias("ts"), F.lit(category).alias("category"), F.lit(no).alias("rule_no"), severity.alias("severity"), F.lit("assessment").alias("confidence"), evidence.alias("evidence"), "source_ip")
+    return F.struct(F.col(f"{first}.line_number").alias("line_number"), F.col(f"{first}.ts").alias("ts"), F.lit(category).alias("category"), F.lit(no).alias("rule_no"), severity.alias("severity"), F.lit("assessment").alias("confidence"), evidence.alias("evidence"), "source_ip")
+
+
+def frequent(counts: DataFrame) -> DataFrame:
+    """Findings of addresses with many denied requests, and of those with many requests for what isn't there."""
+    severity = F.when(F.col("denied") >= AUTH_HIGH, "high").otherwise("medium")
+    denied = F.when(F.col("denied") >= AUTH_LEAST, _finding("first_denied", AUTH_FAILURES, len(SIGNATURES), severity, "denied", "401/403"))
+    missing = F.when(F.col("missing") >= MISSING_LEAST, _finding("first_missing", ENUMERATION, len(SIGNATURES) + 1, F.lit("medium"), "missing", "404"))
+    return counts.select(F.explode(F.array_compact(F.array(denied, missing))).alias("f")).select("f.*")
 
 
 def brute_force(counts: DataFrame) -> DataFrame:
     """Addresses with many denied requests."""
-    severity = F.when(F.col("denied") >= AUTH_HIGH, "high").otherwise("medium")
-    return _finding(counts.where(F.col("denied") >= AUTH_LEAST), "first_denied", AUTH_FAILURES, len(SIGNATURES), severity, "denied", "401/403")
+    return frequent(counts).where(F.col("category") == AUTH_FAILURES)
 
 
 def enumeration(counts: DataFrame) -> DataFrame:
     """Addresses with many requests for what isn't there."""
-    return _finding(counts.where(F.col("missing") >= MISSING_LEAST), "first_missing", ENUMERATION, len(SIGNATURES) + 1, F.lit("medium"), "missing", "404")
+    return frequent(counts).where(F.col("category") == ENUMERATION)
+
+
+def findings(hits: DataFrame, counts: DataFrame) -> DataFrame:
+    """Findings of signature hits and of counts per address."""
+    own = hits.select("line_number", "ts", F.col("code").alias("category"), "rule_no", "severity", F.lit("fact").alias("confidence"), truncate(F.trim(haystack()), EVIDENCE).alias("evidence"), "source_ip")
+    return own.unionByName(frequent(counts))
 
 
 def anomalies(entries: DataFrame) -> DataFrame:
-    """All findings of log entries."""
-    hits = rule_hits(entries).select("line_number", "ts", F.col("code").alias("category"), "rule_no", "severity", F.lit("fact").alias("confidence"), truncate(F.trim(haystack()), EVIDENCE).alias("evidence"), "source_ip")
-    counts = behaviour(entries)
-    return hits.unionByName(brute_force(counts)).unionByName(enumeration(counts))
+    """All findings of log entries: one pass for the signatures, one for the counts."""
+    return findings(rule_hits(entries), behaviour(entries))
 
 
 def behaviour_sql(entries: str) -> str:

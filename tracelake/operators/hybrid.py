@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import high_entropy_tokens
+from tracelake.functions.text import high_entropy_sql, high_entropy_tokens
 from tracelake.operators import bayes, features, forest
-from tracelake.operators.detect import truncate
+from tracelake.operators.detect import truncate, truncate_sql
 from tracelake.operators.timeline import numbered
 
 SAMPLE, TOP, FLAG = 5000, 20, 0.5
@@ -91,3 +91,21 @@ def entropy_flags(rows: DataFrame, key: str, text: str, top: int = ENTROPY_FLAGS
     best = first.orderBy(key, "at").limit(top)
     place = F.row_number().over(Window.orderBy(key, "at"))  # `top` rows
     return best.select(place.alias("place"), key, truncate(F.col("token"), 40).alias("value"), "entropy", note.alias("note"))
+
+
+def metrics(crossed: DataFrame | None, risky: DataFrame, silhouette: DataFrame) -> DataFrame:
+    """One row of what the learning results are worth: accuracy of the classifier in cross-validation, trees, rows, flagged rows and their share, silhouette."""
+    flagged = risky.agg(F.count("*").alias("rows"), F.count_if(F.col("risk") >= FLAG).alias("flagged"))
+    out = flagged.select("rows", "flagged", F.round(F.col("flagged") / F.greatest(F.col("rows"), F.lit(1)), 3).alias("contamination"), F.lit(forest.TREES).alias("trees")).join(F.broadcast(silhouette))  # one row each
+    if crossed is None:
+        return out.withColumn("accuracy", F.lit(None).cast("double"))
+    return out.join(F.broadcast(crossed.agg(F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 3).alias("accuracy"))))
+
+
+def entropy_flags_sql(source: str, key: str, text: str, top: int = ENTROPY_FLAGS) -> str:
+    """The same as `entropy_flags` for DuckDB."""
+    found = f"SELECT {key}, token, round(entropy, 2) AS entropy FROM ({high_entropy_sql(source, key, text)})"
+    ranked = f"SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY -entropy, token) AS pos FROM ({found})"
+    first = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY token[1:{PREFIX}] ORDER BY {key}, pos) AS nth FROM ({ranked})) WHERE nth = 1"
+    note = f"CASE WHEN entropy >= {PACKED} THEN 'packed' WHEN regexp_matches(token, '^[A-Za-z0-9+/=]+$') THEN 'base64' ELSE 'obfuscated' END"
+    return f"SELECT (row_number() OVER (ORDER BY {key}, pos))::INT AS place, {key}, {truncate_sql('token', 40)} AS value, entropy, {note} AS note FROM (SELECT * FROM ({first}) ORDER BY {key}, pos LIMIT {top})"

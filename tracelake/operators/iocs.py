@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracelake.rules.iocs import PATTERNS, PRIVATE, REFERENCE, REFERENCE_OTHER, SEVERITY, STATIC_URL
-from tracelake.rx import quoted
+from tracelake.rx import guard, holds, needed, quoted
 
-#: Lines named with an indicator, at most; the count covers all.
-LINES = 100
+#: What every hash holds, whichever its kind.
+HEX_RUN = "[a-fA-F0-9]{32}"
 
 
 def is_private(ip: Column) -> Column:
@@ -59,31 +59,61 @@ def reference_sql(kind: str, value: str) -> str:
     return f"(CASE {kind} " + " ".join(f"WHEN '{k}' THEN '{u}'" for k, u in REFERENCE.items()) + f" ELSE '{REFERENCE_OTHER}' END) || {encoded_sql(value)}"
 
 
-def ioc_hits(df: DataFrame, text: Column, line: str = "line_number", ts: str | None = "ts") -> DataFrame:
-    """(line, ts, type, value, pattern_no, at) of every match; `at` counts the matches of a pattern in its text."""
+def may_hold(kind: str, rx, text: Column, lower: Column) -> Column:
+    """A cheap test that holds wherever a pattern occurs."""
+    if kind.startswith("hash-"):
+        return text.rlike(HEX_RUN)
+    if kind == "domain":  # what a name ends with follows a dot
+        return holds(lower, [f".{w}" for w in sorted(needed(rx.text))])
+    return guard(lower, (rx,))
+
+
+def found(text: Column, lower: Column) -> Column:
+    """array<struct(type, value, pattern_no, at)> of all matches in a text, static URLs left out."""
+    shape = "array<struct<type:string,value:string,pattern_no:int,at:int>>"
 
     def one(no: int, kind: str, rx) -> Column:
-        found = F.regexp_extract_all(text, F.lit(rx.java), F.lit(0))
-        return F.transform(found, lambda v, k: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(no).alias("pattern_no"), k.alias("at")))
+        values = F.regexp_extract_all(text, F.lit(rx.java), F.lit(0))
+        rows = F.transform(values, lambda v, k: F.struct(F.lit(kind).alias("type"), v.alias("value"), F.lit(no).alias("pattern_no"), k.alias("at")))
+        if kind == "url":
+            rows = F.filter(rows, lambda x: ~x["value"].rlike(STATIC_URL.java))
+        return F.when(may_hold(kind, rx, text, lower), rows).otherwise(F.array()).cast(shape)
 
-    rows = F.flatten(F.array(*[one(no, kind, rx) for no, (kind, rx) in enumerate(PATTERNS)]))
+    return F.flatten(F.array(*[one(no, kind, rx) for no, (kind, rx) in enumerate(PATTERNS)]))
+
+
+def ioc_hits(df: DataFrame, text: Column, line: str = "line_number", ts: str | None = "ts") -> DataFrame:
+    """(line, ts, type, value, pattern_no, at) of every match; `at` counts the matches of a pattern in its text."""
     when = F.col(ts) if ts else F.lit(None).cast("timestamp")
-    out = df.select(F.col(line).alias("line_number"), when.alias("ts"), F.explode(rows).alias("ioc")).select("line_number", "ts", "ioc.*")
-    return out.where(~((F.col("type") == "url") & F.col("value").rlike(STATIC_URL.java)))
+    rows = df.select(F.col(line).alias("line_number"), when.alias("ts"), text.alias("text__"), F.lower(text).alias("lower__"))
+    return rows.select("line_number", "ts", F.explode(found(F.col("text__"), F.col("lower__"))).alias("ioc")).select("line_number", "ts", "ioc.*")
+
+
+def related(hits: DataFrame) -> DataFrame:
+    """(type, key, line_number) of every line that names an indicator, each once; `key` is the indicator in lower case."""
+    return hits.select("type", F.lower("value").alias("key"), "line_number").distinct()
+
+
+def related_sql(hits: str) -> str:
+    return f"SELECT DISTINCT type, lower(value) AS key, line_number FROM ({hits})"
 
 
 def iocs(hits: DataFrame) -> DataFrame:
-    """One row an indicator, case ignored: count, first and last time, spelling and severity of the first, some lines."""
+    """One row an indicator, case ignored: count, first and last time, spelling and severity of the first.
+
+    `first_line`, `first_pattern` and `first_at` order indicators of equal count; `related` has their lines.
+    """
     order = F.struct("line_number", "pattern_no", "at")
     out = hits.groupBy("type", F.lower("value").alias("key")).agg(
         F.min_by("value", order).alias("value"),
         F.count("*").alias("count"),
         F.min("ts").alias("first_seen"),
         F.max("ts").alias("last_seen"),
-        F.min("line_number").alias("first_line"),
+        F.min(order).alias("first__"),
         F.count_distinct("line_number").alias("n_lines"),
     )
-    return out.drop("key").withColumn("severity", severity(F.col("type"), F.col("value"))).withColumn("reference", reference_url(F.col("type"), F.col("value")))
+    out = out.select("type", "value", "count", "first_seen", "last_seen", F.col("first__.line_number").alias("first_line"), F.col("first__.pattern_no").alias("first_pattern"), F.col("first__.at").alias("first_at"), "n_lines")
+    return out.withColumn("severity", severity(F.col("type"), F.col("value"))).withColumn("reference", reference_url(F.col("type"), F.col("value")))
 
 
 def hits_sql(source: str, text: str, line: str = "line_number", ts: str = "ts") -> str:
@@ -96,6 +126,6 @@ def hits_sql(source: str, text: str, line: str = "line_number", ts: str = "ts")
 
 
 def iocs_sql(hits: str) -> str:
-    return f"""SELECT type, value, count, first_seen, last_seen, first_line, n_lines, {severity_sql('type', 'value')} AS severity, {reference_sql('type', 'value')} AS reference FROM (
-      SELECT type, arg_min(value, (line_number, pattern_no, nth)) AS value, count(*)::BIGINT AS count, min(ts) AS first_seen, max(ts) AS last_seen, min(line_number) AS first_line, count(DISTINCT line_number)::BIGINT AS n_lines
+    return f"""SELECT type, value, count, first_seen, last_seen, first_line, first_pattern, first_at, n_lines, {severity_sql('type', 'value')} AS severity, {reference_sql('type', 'value')} AS reference FROM (
+      SELECT type, arg_min(value, (line_number, pattern_no, nth)) AS value, count(*)::BIGINT AS count, min(ts) AS first_seen, max(ts) AS last_seen, min(line_number) AS first_line, arg_min(pattern_no, (line_number, pattern_no, nth)) AS first_pattern, (arg_min(nth, (line_number, pattern_no, nth)) - 1)::INT AS first_at, count(DISTINCT line_number)::BIGINT AS n_lines
       FROM ({hits}) GROUP BY type, lower(value))"""

@@ -278,3 +278,15 @@ def timeline(found: DataFrame, limit: int = DATED) -> DataFrame:
     first = found.where("si_created is not null").orderBy("si_created", *ORDER).limit(limit)
     place = F.row_number().over(Window.orderBy("si_created", *ORDER))  # `limit` rows
     return first.select(place.alias("place"), "si_created", "file_name", "category", "severity", "confidence", truncate(F.col("path"), 160).alias("path"))
+
+
+def search(found: DataFrame, words: str, severity_: str | None = None) -> DataFrame:
+    """Findings whose path, category or name holds words, case ignored; optionally of one severity; the worst first."""
+    text = F.lower(F.concat_ws(" ", "path", "category", "file_name"))
+    rows = found.where(F.contains(text, F.lower(F.lit(words))))
+    rows = rows if severity_ is None else rows.where(F.col("severity") == severity_)
+    return rows.orderBy(severity.rank(F.col("severity")).desc(), *ORDER)
+
+
+def search_sql(found: str, words: str) -> str:
+    return f"SELECT * FROM ({found}) WHERE contains(lower(concat_ws(' ', path, category, file_name)), lower({quoted(words)}))"

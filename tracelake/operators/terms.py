@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.functions.text import tokens_sql, with_tokens
+from tracelake.functions.text import token_rows as exploded
+from tracelake.functions.text import tokens_sql
+from tracelake.store import cut
 
 TERMS, FEW = 200, 8
 
 
 def token_rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, token, tf, len) of every text."""
-    tokens = with_tokens(docs.select(key, text), text).select(key, F.size("tokens").alias("len"), F.explode("tokens").alias("token"))
-    return tokens.groupBy(key, "len", "token").agg(F.count("*").alias("tf"))
+    tokens = exploded(docs.select(key, text), text, key, F.size("tokens").alias("len"))
+    return cut(tokens.groupBy(key, "len", "token").agg(F.count("*").alias("tf")), "tokens")  # vocabulary and weights both use it
 
 
 def vocabulary(rows: DataFrame, n_docs: int, terms: int = TERMS) -> DataFrame:

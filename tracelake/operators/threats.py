@@ -42,7 +42,8 @@ def _description(no: Column) -> Column:
     return F.get(F.array(*[F.lit(s.description) for s in SIGNATURES]), no)
 
 
-def _evidence(text: Column) -> Column:
+def evidence_of(text: Column) -> Column:
+    """A line's number and the start of what it says."""
     return F.concat(F.lit("L"), F.col("line_number").cast("string"), F.lit(": "), truncate(F.trim(text), SNIPPET))
 
 
@@ -65,7 +66,7 @@ def techniques(hits: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("first", "rule_no", "cves"))).alias("rules"),
     )  # a group has a row for each rule at most
     cves = F.array_distinct(F.filter(F.flatten(F.transform("rules", lambda r: F.split(r["cves"], ","))), lambda c: c != ""))
-    first = _first_of_each(hits.select("technique_id", "line_number", "rule_no", _evidence(haystack()).alias("e")), "technique_id", ["line_number", "rule_no"], EVIDENCES)
+    first = _first_of_each(hits.select("technique_id", "line_number", "rule_no", evidence_of(haystack()).alias("e")), "technique_id", ["line_number", "rule_no"], EVIDENCES)
     evidence = first.groupBy("technique_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("nth__", "e"))), lambda x: x["e"]), SEP).alias("evidence"))
     out = per.join(evidence, "technique_id")
     return out.select("technique_id", "technique", "tactic_id", tactic_name(F.col("tactic_id")).alias("tactic"), tactic_order(F.col("tactic_id")).alias("tactic_order"), _description(F.col("rule_no")).alias("description"), "severity", F.array_join(cves, ",").alias("cves"), "hits", "evidence", F.concat(F.lit("https://attack.mitre.org/techniques/"), F.replace("technique_id", F.lit("."), F.lit("/")), F.lit("/")).alias("url"))
@@ -85,9 +86,13 @@ def techniques_sql(hits: str) -> str:
 
 def cve_hits(entries: DataFrame) -> DataFrame:
     """(line_number, cve, evidence) of lines that match a vulnerability's own patterns."""
-    text = haystack()
-    found = F.filter(F.array(*[F.when(any_of(text, c.patterns), F.lit(c.id)) for c in CVES if c.patterns]), lambda x: x.isNotNull())
-    return entries.select("line_number", _evidence(text).alias("evidence"), F.explode(found).alias("cve"))
+    rows = entries.select("line_number", haystack().alias("text__"), F.lower(haystack()).alias("lower__"))
+    return rows.select("line_number", evidence_of(F.col("text__")).alias("evidence"), F.explode(named_cves(F.col("text__"), F.col("lower__"))).alias("cve"))
+
+
+def named_cves(text: Column, lower: Column) -> Column:
+    """The vulnerabilities whose own patterns occur in a text."""
+    return F.array_compact(F.array(*[F.when(any_of(text, c.patterns, lower), F.lit(c.id)) for c in CVES if c.patterns]))
 
 
 def cve_links(techniques_: DataFrame) -> DataFrame:
@@ -106,10 +111,19 @@ def _cve_facts(cve: Column) -> list[Column]:
     return out
 
 
-def cves(entries: DataFrame, techniques_: DataFrame, ioc_rows: DataFrame) -> DataFrame:
-    """One row a vulnerability that is named, matched, or linked to a technique that hit."""
+def cveevidence_of(hits: DataFrame) -> DataFrame:
+    """(cve, evidence, first_line, lines) of every different evidence of a vulnerability, given `cve_hits`."""
+    return hits.groupBy("cve", F.regexp_replace("evidence", "^L[0-9]+: ", "").alias("evidence")).agg(F.min("line_number").alias("first_line"), F.count("*").alias("lines"))
+
+
+def cve_evidence_sql(entries: str) -> str:
+    return f"SELECT cve, regexp_replace(evidence, '^L[0-9]+: ', '') AS evidence, min(line_number) AS first_line, count(*)::BIGINT AS lines FROM ({cve_hits_sql(entries)}) GROUP BY ALL"
+
+
+def cves(hits: DataFrame, techniques_: DataFrame, ioc_rows: DataFrame) -> DataFrame:
+    """One row a vulnerability that is matched (`cve_hits`), named, or linked to a technique that hit; `cve_evidence` has all its evidence."""
     named = ioc_rows.where("type = 'cve'").groupBy(F.upper("value").alias("cve")).agg(F.sum("count").alias("named"))
-    matched = cve_hits(entries).groupBy("cve").agg(F.count("*").alias("matched"), F.min_by("evidence", "line_number").alias("first_evidence"))
+    matched = hits.groupBy("cve").agg(F.count("*").alias("matched"), F.min_by("evidence", "line_number").alias("first_evidence"))
     linked = cve_links(techniques_).groupBy("cve").agg(F.array_join(F.array_sort(F.collect_set("technique_id")), ",").alias("techniques"))
     out = matched.join(named, "cve", "full").join(linked, "cve", "full")
     return out.select("cve", *_cve_facts(F.col("cve")), F.coalesce("named", F.lit(0)).cast("long").alias("named"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"), F.coalesce("techniques", F.lit("")).alias("techniques"), F.coalesce("first_evidence", F.lit("")).alias("first_evidence"), F.concat(F.lit("https://nvd.nist.gov/vuln/detail/"), "cve").alias("url"))
@@ -151,9 +165,9 @@ def flow_edges(nodes: DataFrame) -> DataFrame:
 
 def tools_named(text_rows: DataFrame, text: str) -> DataFrame:
     """(tool, rows) of the tools that a text column names anywhere."""
-    col = F.col(text)
-    found = F.filter(F.array(*[F.when(any_of(col, (rx,)), F.lit(k)) for k, rx, _ in TOOLS]), lambda x: x.isNotNull())
-    return text_rows.select(F.explode(found).alias("tool")).groupBy("tool").agg(F.count("*").alias("rows"))
+    found = F.array_compact(F.array(*[F.when(any_of(F.col("text__"), (rx,), F.col("lower__")), F.lit(k)) for k, rx, _ in TOOLS]))
+    rows = text_rows.select(F.col(text).alias("text__"), F.lower(text).alias("lower__"))
+    return rows.select(F.explode(found).alias("tool")).groupBy("tool").agg(F.count("*").alias("rows"))
 
 
 def tools_sql(source: str, text: str) -> str:
@@ -167,7 +181,7 @@ def attribution(techniques_: DataFrame, tools: DataFrame, top: int = 6) -> DataF
     The profiles are a fixed table; what they join with has a row for each technique or tool.
     """
     spark = techniques_.sparkSession
-    profiles = [(a, "technique", x) for a, t, _ in ACTORS for x in t.split()] + [(a, "tool", x) for a, _, s in ACTORS for x in s.split()]
+    profiles = [(a, kind, x) for a, t, s in ACTORS for kind, names in (("technique", t), ("tool", s)) for x in names]
     rare = [k for k, _, commodity in TOOLS if not commodity]
     profile = spark.createDataFrame(profiles, "actor string, kind string, name string")
     own = techniques_.select(F.explode(F.array("technique_id", F.substring_index("technique_id", ".", 1))).alias("name")).distinct().withColumn("kind", F.lit("technique"))
@@ -182,7 +196,7 @@ def attribution(techniques_: DataFrame, tools: DataFrame, top: int = 6) -> DataF
 
 
 def attribution_sql(techniques_: str, tools: str, top: int = 6) -> str:
-    rows = ", ".join(f"('{a}', '{kind}', '{x}')" for a, t, s in ACTORS for kind, names in (("technique", t), ("tool", s)) for x in names.split())
+    rows = ", ".join(f"('{a}', '{kind}', '{x}')" for a, t, s in ACTORS for kind, names in (("technique", t), ("tool", s)) for x in names)
     rare = ", ".join(f"'{k}'" for k, _, commodity in TOOLS if not commodity)
     return f"""WITH found AS (SELECT DISTINCT 'technique' AS kind, unnest([technique_id, string_split(technique_id, '.')[1]]) AS name FROM ({techniques_}) UNION ALL SELECT 'tool', tool FROM ({tools})),
       per AS (SELECT actor, count(*) FILTER (kind = 'tool') AS n_tools, count(*) FILTER (kind = 'technique') AS n_techniques, count(*) FILTER (name IN ({rare})) AS n_rare,

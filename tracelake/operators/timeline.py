@@ -1,7 +1,6 @@
 """Findings in order of time, and the stages they stand for.
 
-Findings may be many, so their order numbers come from a range partitioning: a row's number is its
-place in its partition and the sizes of those before, not one sort in one task.
+Findings may be many, so their order numbers come from a range partitioning, not one sort in one task.
 """
 
 from __future__ import annotations
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.rules.signatures import PHASE
+from tracelake.store import cut, parallelism
 
 
 def phase(category: Column) -> Column:
@@ -26,25 +26,16 @@ def phase_sql(category: str) -> str:
 def numbered(rows: DataFrame, order: list[str], name: str, nulls_last: tuple[str, ...] = ()) -> DataFrame:
     """`rows` with their place, from 1, in an order that names each row.
 
-    Rows are counted by the first column's value; numbers start from the counts of smaller values, and
-    only rows that share a value are ordered together.
+    The rows are written once and dealt by ranges of the whole order, so rows of one time are split as
+    well; a place is the one in the range plus the sizes of the ranges before.
     """
-    first, *rest = order
-    by = lambda c: F.col(c).asc_nulls_last() if c in nulls_last else F.col(c).asc_nulls_first()
-    sizes = rows.groupBy(first).agg(F.count("*").alias("n__"))
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # The running sum over distinct values in two steps: within ranges of values, then over ranges.
-    edges = [r[0] for r in sizes.agg(F.percentile_approx(first, [k / n for k in range(1, n)], 10 * n)).collect()][0] or []
-    marks = F.array(*[F.lit(e) for e in sorted(set(edges))]) if edges else F.array().cast("array<int>")
-    bucket = F.when(F.col(first).isNull(), n + 1 if first in nulls_last else -1).otherwise(F.size(F.filter(marks, lambda e: e <= F.col(first)))) if edges else F.when(F.col(first).isNull(), n + 1 if first in nulls_last else -1).otherwise(F.lit(0))
-    sizes = sizes.withColumn("b__", bucket)
-    within = F.sum("n__").over(Window.partitionBy("b__").orderBy(by(first)).rowsBetween(Window.unboundedPreceding, -1))
-    per = sizes.groupBy("b__").agg(F.sum("n__").alias("t__"))  # a row for each range
-    before = per.select("b__", F.sum("t__").over(Window.orderBy("b__").rowsBetween(Window.unboundedPreceding, -1)).alias("o__"))
-    start = sizes.withColumn("w__", within).join(F.broadcast(before), "b__").select(F.col(first).alias("k__"), (F.coalesce("w__", F.lit(0)) + F.coalesce("o__", F.lit(0))).alias("s__"))
-    place = F.row_number().over(Window.partitionBy(first).orderBy(*map(by, rest)))
-    out = rows.withColumn("p__", place).join(start, F.col(first).eqNullSafe(F.col("k__")))
-    return out.withColumn(name, (F.col("s__") + F.col("p__")).cast("long")).drop("p__", "k__", "s__")
+    by = [F.col(c).asc_nulls_last() if c in nulls_last else F.col(c).asc_nulls_first() for c in order]
+    dealt = cut(rows, "rows").repartitionByRange(parallelism(rows.sparkSession), *by).sortWithinPartitions(*by)
+    held = cut(dealt.withColumn("at__", F.monotonically_increasing_id()).withColumn("part__", F.shiftright("at__", 33)), "numbered")
+    sizes = held.groupBy("part__").agg(F.count("*").alias("n__"), F.min("at__").alias("first__"))  # a row for each partition
+    before = F.sum("n__").over(Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
+    shift = sizes.select("part__", (F.coalesce(before, F.lit(0)) - F.col("first__") + 1).alias("shift__"))
+    return held.join(F.broadcast(shift), "part__").withColumn(name, F.col("at__") + F.col("shift__")).drop("part__", "at__", "shift__")
 
 
 def timeline(anomalies: DataFrame) -> DataFrame:

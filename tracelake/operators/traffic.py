@@ -20,17 +20,22 @@ ABNORMAL = 0.5
 BOTS = Rx(r"sqlmap|nikto|nmap|masscan|curl|python-requests|go-http|bot|scan")
 
 
-def per_source(entries: DataFrame) -> DataFrame:
-    """Counts of each source address."""
+def counts() -> list[Column]:
+    """Aggregates of a source address."""
     status = F.col("status_code")
-    return entries.where("source_ip is not null").groupBy("source_ip").agg(
+    return [
         F.count("*").alias("requests"),
         F.count_if(status >= 400).alias("errors"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"),
         F.count_if(status.isin(401, 403)).alias("denied"),
         F.count_distinct("url").alias("urls"),
         F.coalesce(F.bool_or(F.col("user_agent").rlike(BOTS.java)), F.lit(False)).alias("robot"),
-    )
+    ]
+
+
+def per_source(entries: DataFrame) -> DataFrame:
+    """Counts of each source address."""
+    return entries.where("source_ip is not null").groupBy("source_ip").agg(*counts())
 
 
 #: Condition, weight and reason code of each part of the score, in the order in which they are added.
@@ -48,7 +53,11 @@ EXTERNAL = 0.05
 
 def traffic_score(entries: DataFrame) -> DataFrame:
     """One row a source address: counts, score, class, and the reasons."""
-    own = per_source(entries)
+    return scored(per_source(entries))
+
+
+def scored(own: DataFrame) -> DataFrame:
+    """The same of the counts of each source address."""
     mean = own.agg(F.avg("requests").alias("mean"))  # one row
     rows = own.join(F.broadcast(mean)).withColumn("ratio", F.col("requests") / F.col("mean")).withColumn("error_rate", F.col("errors") / F.col("requests"))
     parts: list[Column] = [F.when(F.expr(c), F.lit(w)).otherwise(F.lit(0.0)) for c, w, _ in PARTS]

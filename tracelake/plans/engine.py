@@ -8,83 +8,87 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import bayes, detect, hybrid, iocs, mft, parse, reason, threats, timeline, traffic
+from tracelake.operators import bayes, clusters, detect, hybrid, mft, parse, reason, threats
+from tracelake.plans.case import LogCase, RecordCase
 from tracelake.sources import ingest, testbed
 
-
 #: Characters at the start of a log that its format is told from.
 HEAD = 4000
 
 
 @dataclass
 class Analysis:
-    """Results by name; nothing runs until a DataFrame is used."""
+    """Results by name. A result is planned when it is first asked for, and what several of them share is then written once."""
 
     kind: str
-    frames: dict[str, DataFrame] = field(default_factory=dict)
+    makers: dict[str, Callable[[], DataFrame]]
+    made: dict[str, DataFrame] = field(default_factory=dict)
 
     def __getitem__(self, name: str) -> DataFrame:
-        return self.frames[name]
+        if name not in self.made:
+            self.made[name] = self.makers[name]()
+        return self.made[name]
+
+    def __contains__(self, name: str) -> bool:
+        return name in self.makers
+
+
+#: Results of `LogCase` that an analysis of a log has.
+LOG_FRAMES = (
+    "entries", "anomalies", "iocs", "ioc_lines", "techniques", "cves", "cve_evidence", "traffic", "timeline", "flow_nodes", "flow_edges", "steps", "intrusion", "attribution",
+    "counters", "report_steps", "tops", "report_lines", "overview", "kpis",
+)
 
 
 def analyze_logs(entries: DataFrame, corpus: DataFrame | None = None) -> Analysis:
-    """All log operators over entries. Entries are scanned for signatures once for each result that is
-    used; persist them before if several are."""
+    """All log operators over entries, which are read twice for the rules and once for each learning result that is asked for."""
+    case = LogCase(entries)
     spark = entries.sparkSession
-    hits = detect.rule_hits(entries)
-    found = detect.anomalies(entries)
-    techniques = threats.techniques(hits)
-    indicators = iocs.iocs(iocs.ioc_hits(entries, detect.haystack()))
-    cves = threats.cves(entries, techniques, indicators)
-    sources = traffic.traffic_score(entries)
-    nodes = threats.flow_nodes(techniques)
-    steps = reason.killchain_steps(techniques)
-    counters = reason.report_counters(entries, found, indicators, techniques, cves, sources)
-    model = bayes.fit(corpus if corpus is not None else testbed.labelled(spark, ""))
-    return Analysis(
-        "log",
-        {
-            "entries": entries,
-            "anomalies": found,
-            "iocs": indicators,
-            "techniques": techniques,
-            "cves": cves,
-            "traffic": sources,
-            "timeline": timeline.timeline(found),
-            "flow_nodes": nodes,
-            "flow_edges": threats.flow_edges(nodes),
-            "steps": steps,
-            "intrusion": reason.intrusion_summary(steps, found),
-            "attribution": threats.attribution(techniques, threats.tools_named(found, "evidence")),
-            "counters": counters,
-            "report_steps": reason.report_steps(counters, cves),
-            "ml_anomalies": hybrid.log_anomalies(entries, model),
-            "ml_classes": bayes.class_distribution(bayes.predict(entries, model, "line_number", "raw")),
-        },
-    )
+    labelled = corpus if corpus is not None else testbed.labelled(spark, "")
+    made: list[bayes.Model] = []
+
+    def model() -> bayes.Model:
+        if not made:
+            made.append(bayes.fit(labelled))
+        return made[0]
+
+    def text() -> DataFrame:
+        return entries.select("line_number", detect.haystack().alias("text"))
+
+    learned = {
+        "ml_anomalies": lambda: hybrid.log_anomalies(entries, model()),
+        "ml_classes": lambda: bayes.class_distribution(bayes.predict(entries, model(), "line_number", "raw")),
+        "ml_clusters": lambda: clusters.log_clusters(entries, "line_number", "raw"),
+        "ml_entropy": lambda: hybrid.entropy_flags(text(), "line_number", "text"),
+        "ml_metrics": lambda: hybrid.metrics(bayes.cross_validated(labelled), hybrid.log_risk(entries, model()), clusters.log_silhouette(entries, "line_number", "raw")),
+    }
+    return Analysis("log", {n: (lambda n=n: getattr(case, n)) for n in LOG_FRAMES} | learned)
 
 
 def analyze_mft(records: DataFrame) -> Analysis:
-    """All operators over file records."""
-    found = mft.findings(records)
-    techniques = mft.techniques(found)
-    named = techniques.withColumn("hits", F.col("findings"))
-    steps = reason.killchain_steps(named)
+    """All operators over file records; those on findings start from findings written once."""
+    case = RecordCase(records)
+
+    def tools() -> DataFrame:
+        return threats.tools_named(case.findings.select(F.concat_ws(" ", "category", "path").alias("text")), "text")
+
+    def intrusion() -> DataFrame:
+        dated = case.findings.select(F.col("si_created").alias("ts"), F.col("record_number").alias("line_number"), F.lit(None).cast("string").alias("source_ip"))
+        none = case.iocs.select(F.lit("filepath").alias("type"), "value", "count", *[F.lit(0).alias(c) for c in ("first_line", "first_pattern", "first_at")])
+        return reason.intrusion_summary(case.steps, dated, none)
+
+    def silhouette() -> DataFrame:
+        return clusters.mft_silhouette(records)
+
     return Analysis(
         "mft",
-        {
-            "records": records,
-            "totals": mft.totals(records),
-            "findings": found,
-            "shown": mft.shown(found),
-            "by_category": mft.by_category(found),
-            "techniques": techniques,
-            "iocs": mft.iocs(found),
-            "timeline": mft.timeline(found),
-            "flow_nodes": threats.flow_nodes(named),
-            "steps": steps,
-            "attribution": threats.attribution(techniques, threats.tools_named(found.select(F.concat_ws(" ", "category", "path").alias("text")), "text")),
-            "ml_anomalies": hybrid.mft_anomalies(records),
+        {n: (lambda n=n: getattr(case, n)) for n in ("records", "totals", "findings", "shown", "by_category", "techniques", "iocs", "timeline", "flow_nodes", "flow_edges", "steps")}
+        | {
+            "intrusion": intrusion,
+            "attribution": lambda: threats.attribution(case.techniques, tools()),
+            "ml_anomalies": lambda: hybrid.mft_anomalies(records),
+            "ml_clusters": lambda: clusters.mft_clusters(records),
+            "ml_metrics": lambda: hybrid.metrics(None, hybrid.mft_risk(records), silhouette()),
         },
     )
 

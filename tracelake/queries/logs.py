@@ -9,7 +9,9 @@ from tracelake.functions.time import parse_timestamp, parse_timestamp_sql, said,
 from tracelake.operators import detect, iocs, parse, reason, threats, timeline, traffic
 from tracelake.rules import severity
 from tracelake.rules.signatures import TACTICS
+from tracelake.plans.case import LogCase
 from tracelake.sources import testbed
+from tracelake.store import cut
 from tracelake.streaming import behaviour
 
 ENTRIES = parse.weblog_sql(testbed.access_log("duckdb"))
@@ -21,6 +23,7 @@ CVES = threats.cves_sql(ENTRIES, TECHNIQUES, IOCS)
 TRAFFIC = traffic.traffic_sql(ENTRIES)
 TOOLS = threats.tools_sql(ANOMALIES, "evidence")
 STEPS = reason.killchain_sql(TECHNIQUES)
+TOPS = reason.tops_sql(TECHNIQUES, CVES, IOCS, TRAFFIC)
 COUNTERS = reason.counters_sql(ENTRIES, ANOMALIES, IOCS, TECHNIQUES, CVES, TRAFFIC)
 
 
@@ -28,6 +31,10 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
     return parse.weblog(testbed.access_lines(spark, sf))
 
 
+def case(spark: SparkSession, sf: str) -> LogCase:
+    return LogCase(entries(spark, sf))
+
+
 def hits(spark: SparkSession, sf: str) -> DataFrame:
     return detect.rule_hits(entries(spark, sf))
 
@@ -37,17 +44,14 @@ def found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def techniques(spark: SparkSession, sf: str) -> DataFrame:
-    return threats.techniques(hits(spark, sf))
+    """Of hits written once: they are grouped, and their first evidences are picked."""
+    return threats.techniques(cut(hits(spark, sf).select("line_number", "raw", "message", "rule_no", "severity", "technique_id", "technique", "tactic_id", "cves"), "hits"))
 
 
 def log_iocs(spark: SparkSession, sf: str) -> DataFrame:
     return iocs.iocs(iocs.ioc_hits(entries(spark, sf), detect.haystack()))
 
 
-def cves(spark: SparkSession, sf: str) -> DataFrame:
-    return threats.cves(entries(spark, sf), techniques(spark, sf), log_iocs(spark, sf))
-
-
 def _dated(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: said(F.col(n)) for n in names})
 
@@ -97,7 +101,7 @@ def signature_hits(spark, sf):
 
 
 def signature_hits_pages(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select(F.col("page_id").alias("line_number"), F.coalesce("html", F.lit("")).alias("raw"), F.lit("").alias("message"))
+    pages = testbed.spread(spark, sf, "pages").select(F.col("page_id").alias("line_number"), F.coalesce("html", F.lit("")).alias("raw"), F.lit("").alias("message"))
     return detect.rule_hits(pages).select("line_number", "code")
 
 
@@ -130,7 +134,7 @@ _HISTOGRAM = f"SELECT severity, rank::INT AS rank, coalesce(n, 0)::BIGINT AS n F
 
 
 def _docs_hits(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    docs = testbed.spread(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return iocs.ioc_hits(docs, F.col("text"), "doc_id", None)
 
 
@@ -143,7 +147,7 @@ def ioc_extract_docs(spark, sf):
 
 
 def ioc_extract_pages(spark, sf):
-    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("text"))
+    pages = testbed.spread(spark, sf, "pages").select("page_id", F.concat_ws("\n", F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))).alias("text"))
     return iocs.iocs(iocs.ioc_hits(pages, F.col("text"), "page_id", None)).drop("first_seen", "last_seen")
 
 
@@ -172,7 +176,15 @@ def technique_map(spark, sf):
 
 
 def cve_map(spark, sf):
-    return cves(spark, sf)
+    return case(spark, sf).cves
+
+
+def cve_evidence(spark, sf):
+    return threats.cve_evidence(threats.cve_hits(entries(spark, sf)))
+
+
+def ioc_lines(spark, sf):
+    return iocs.related(iocs.ioc_hits(entries(spark, sf), detect.haystack()))
 
 
 def technique_cve_link(spark, sf):
@@ -200,11 +212,11 @@ def killchain_steps(spark, sf):
 
 
 def intrusion_summary(spark, sf):
-    return reason.intrusion_summary(killchain_steps(spark, sf), found(spark, sf))
+    return case(spark, sf).intrusion
 
 
 def actor_attribution(spark, sf):
-    return threats.attribution(techniques(spark, sf), threats.tools_named(found(spark, sf), "evidence"))
+    return case(spark, sf).attribution
 
 
 def tools_detected(spark, sf):
@@ -212,11 +224,27 @@ def tools_detected(spark, sf):
 
 
 def report_counters(spark, sf):
-    return reason.report_counters(entries(spark, sf), found(spark, sf), log_iocs(spark, sf), techniques(spark, sf), cves(spark, sf), traffic_score(spark, sf))
+    return case(spark, sf).counters
 
 
 def report_steps(spark, sf):
-    return reason.report_steps(report_counters(spark, sf), cves(spark, sf))
+    return case(spark, sf).report_steps
+
+
+def report_tops(spark, sf):
+    return case(spark, sf).tops
+
+
+def report_lines(spark, sf):
+    return case(spark, sf).report_lines
+
+
+def overview_tops(spark, sf):
+    return case(spark, sf).overview
+
+
+def overview_kpis(spark, sf):
+    return case(spark, sf).kpis
 
 
 def anomaly_search(spark, sf):
@@ -260,7 +288,7 @@ QUERIES = {
     for f in (
         traffic_score, parse_access_log, parse_generic_line, parse_csv_log, detect_format, timestamp_normalize, signature_hits, signature_hits_pages, signature_summary, behavior_bruteforce, behavior_enumeration,
         anomalies_all, severity_histogram, ioc_extract_docs, ioc_extract_pages, ioc_extract_logs, ioc_by_type, ioc_private_ip, ioc_reference_url, technique_map, cve_map, technique_cve_link, timeline_events, timeline_phase,
-        attack_flow_nodes, attack_flow_edges, killchain_steps, intrusion_summary, actor_attribution, tools_detected, report_counters, report_steps, anomaly_search, log_search, kpi_logs, tactic_table, window_counts,
+        attack_flow_nodes, attack_flow_edges, killchain_steps, intrusion_summary, actor_attribution, tools_detected, report_counters, report_steps, report_tops, report_lines, overview_tops, overview_kpis, cve_evidence, ioc_lines, anomaly_search, log_search, kpi_logs, tactic_table, window_counts,
     )
 }
 
@@ -294,7 +322,13 @@ ORACLE_SQL = {
     "attack_flow_nodes": threats.flow_nodes_sql(TECHNIQUES),
     "attack_flow_edges": f"SELECT * FROM (SELECT step, tactic_id AS from_tactic, lead(tactic_id) OVER (ORDER BY step) AS to_tactic FROM ({threats.flow_nodes_sql(TECHNIQUES)})) WHERE to_tactic IS NOT NULL",
     "killchain_steps": STEPS,
-    "intrusion_summary": reason.intrusion_sql(STEPS, ANOMALIES),
+    "intrusion_summary": reason.intrusion_sql(STEPS, ANOMALIES, IOCS),
+    "report_tops": TOPS,
+    "report_lines": reason.report_lines_sql(COUNTERS, TECHNIQUES, TOPS),
+    "overview_tops": reason.overview_sql(TRAFFIC, TECHNIQUES, CVES, ANOMALIES, timeline.timeline_sql(ANOMALIES)),
+    "overview_kpis": reason.kpis_sql(ENTRIES, TRAFFIC),
+    "cve_evidence": threats.cve_evidence_sql(ENTRIES),
+    "ioc_lines": iocs.related_sql(iocs.hits_sql(ENTRIES, "coalesce(nullif(raw, ''), message)")),
     "actor_attribution": threats.attribution_sql(TECHNIQUES, TOOLS),
     "tools_detected": TOOLS,
     "report_counters": COUNTERS,

@@ -51,6 +51,11 @@ def mft_shown(spark, sf):
     return mft.shown(found(spark, sf)).select("record_number", "rule_no", "category", "severity", "path")
 
 
+def mft_search(spark, sf):
+    """Findings that name a folder of downloads or temporary files."""
+    return mft.search(found(spark, sf), "Temp").select("record_number", "rule_no", "category", "severity", "path")
+
+
 def mft_by_category(spark, sf):
     return mft.by_category(found(spark, sf))
 
@@ -101,12 +106,13 @@ def mft_clusters(spark, sf):
 
 
 _KEPT = " * ".join(f"(1 - least(1::DOUBLE, ({x})::DOUBLE * {w}))" for x, w in WEIGHTS)
-QUERIES = {f.__name__: f for f in (mft_parse, mft_totals, mft_findings, mft_shown, mft_by_category, mft_techniques, mft_iocs, mft_timeline, mft_features, mft_feature_stats, mft_zscore_reasons, noisy_or_mft, mft_ml_anomalies, mft_clusters)}
+QUERIES = {f.__name__: f for f in (mft_parse, mft_totals, mft_findings, mft_shown, mft_search, mft_by_category, mft_techniques, mft_iocs, mft_timeline, mft_features, mft_feature_stats, mft_zscore_reasons, noisy_or_mft, mft_ml_anomalies, mft_clusters)}
 ORACLE_SQL = {
     "mft_parse": f"SELECT record_number, active, record_type, path, file_name, ext, {', '.join(_SHORT)} FROM ({_dated_sql(RECORDS, *_SHORT)})",
     "mft_totals": mft.totals_sql(RECORDS),
     "mft_findings": _dated_sql(FINDINGS, "si_created", "fn_created"),
-    "mft_shown": f"SELECT record_number, rule_no, category, severity, path FROM (SELECT * FROM ({FINDINGS}) ORDER BY record_number, rule_no, path LIMIT {mft.SCAN_CAP}) ORDER BY {mft.severity.rank_sql('severity')} DESC, record_number, rule_no, path LIMIT {mft.SHOWN}",
+    "mft_shown": f"SELECT record_number, rule_no, category, severity, path FROM ({FINDINGS}) ORDER BY {mft.severity.rank_sql('severity')} DESC, record_number, rule_no, path LIMIT {mft.SHOWN}",
+    "mft_search": f"SELECT record_number, rule_no, category, severity, path FROM ({mft.search_sql(FINDINGS, 'Temp')})",
     "mft_by_category": f"SELECT category, count(*)::BIGINT AS count, {mft.severity.worst_sql('severity')} AS severity FROM ({FINDINGS}) GROUP BY 1",
     "mft_techniques": mft.techniques_sql(FINDINGS),
     "mft_iocs": _dated_sql(mft.iocs_sql(FINDINGS), "first_seen"),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracelake.functions import format as formats
 from tracelake.functions import text
 from tracelake.operators import bayes, clusters, features, forest, hybrid, terms
 from tracelake.queries import logs
@@ -17,7 +18,7 @@ PREDICTED = bayes.predict_sql(CORPUS, f"SELECT line_number, raw FROM ({logs.ENTR
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return testbed.spread(spark, sf, "documents", "doc_id", "text").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
 
 
 def _features(spark: SparkSession, sf: str) -> DataFrame:
@@ -41,8 +42,33 @@ def tokenize(spark, sf):
     return text.with_tokens(logs.entries(spark, sf).select("line_number", "raw"), "raw").select("line_number", F.array_join("tokens", " ").alias("tokens"))
 
 
+#: The driver's documents hold hardly a token of high entropy, so every seventh gets a key of its own at its end.
+KEYED = "SELECT doc_id, coalesce(text, '') || CASE WHEN doc_id % 7 = 0 THEN ' key: ' || to_base64(unhex(sha256(doc_id::VARCHAR))) ELSE '' END AS text FROM documents"
+
+
+def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.concat(F.lit(" key: "), F.base64(F.unhex(F.sha2(F.col("doc_id").cast("string"), 256))))
+    return _docs(spark, sf).withColumn("text", F.concat("text", F.when(F.col("doc_id") % 7 == 0, key).otherwise("")))
+
+
+def token_labels(spark, sf):
+    """How often each sign of attack syntax occurs in the log, as a reader sees it."""
+    rows = text.token_rows(logs.entries(spark, sf).select("line_number", "raw"), "raw").where("startswith(token, '§')")
+    return rows.groupBy(text.labelled(F.col("token")).alias("sign")).agg(F.count("*").alias("n"))
+
+
+def format_values(spark, sf):
+    """Numbers and times of orders as a reader sees them."""
+    rows = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", F.floor(F.col("o_totalprice") * 1000 * (F.col("o_orderkey") % 1000)).cast("long").alias("n"), ((F.col("o_orderkey") % 1000) / 1000.0).alias("share"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    at = F.col("at") + F.make_interval(secs=F.col("o_orderkey") % 86400)
+    return rows.select("o_orderkey", formats.bytes_said(F.col("n")).alias("bytes"), formats.number_said(F.col("n")).alias("number"), formats.percent_said(F.col("share")).alias("percent"), formats.percent_said(F.col("share"), 1).alias("percent_1"), formats.time_said(at).alias("time"))
+
+
+_ORDERS = "SELECT o_orderkey, floor(o_totalprice * 1000 * (o_orderkey % 1000))::BIGINT AS n, ((o_orderkey % 1000) / 1000.0)::DOUBLE AS share, o_orderdate::TIMESTAMP + to_seconds(o_orderkey % 86400) AS moment FROM orders"
+
+
 def high_entropy_tokens(spark, sf):
-    rows = _docs(spark, sf).select("doc_id", F.explode(text.high_entropy_tokens(F.col("text"))).alias("t"))
+    rows = _keyed(spark, sf).select("doc_id", F.explode(text.high_entropy_tokens(F.col("text"))).alias("t"))
     return rows.select("doc_id", "t.token", F.round("t.entropy", 2).alias("entropy"))
 
 
@@ -106,17 +132,27 @@ def kmeans_clusters(spark, sf):
     return clusters.log_clusters(logs.entries(spark, sf), "line_number", "raw")
 
 
+def kmeans_silhouette(spark, sf):
+    return clusters.log_silhouette(logs.entries(spark, sf), "line_number", "raw")
+
+
+def ml_metrics(spark, sf):
+    labelled = testbed.labelled(spark, sf)
+    rows = logs.entries(spark, sf)
+    return hybrid.metrics(bayes.cross_validated(labelled), hybrid.log_risk(rows, bayes.fit(labelled)), clusters.log_silhouette(rows, "line_number", "raw"))
+
+
 def ml_anomalies(spark, sf):
     return hybrid.log_anomalies(logs.entries(spark, sf), bayes.fit(testbed.labelled(spark, sf)))
 
 
 def entropy_flags(spark, sf):
-    return hybrid.entropy_flags(_docs(spark, sf), "doc_id", "text").select("place", "doc_id", "value", F.round("entropy", 2).alias("entropy"), "note")
+    return hybrid.entropy_flags(_keyed(spark, sf), "doc_id", "text").select("place", "doc_id", "value", F.round("entropy", 2).alias("entropy"), "note")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (shannon_entropy, char_stats, tokenize, high_entropy_tokens, log_features, feature_stats, zscore_reasons, stride_sample, nb_train_counts, nb_predict, nb_crossval, nb_accuracy, class_distribution, tfidf_vocab, tfidf_weights, iforest_scores, kmeans_clusters, ml_anomalies, entropy_flags)
+    for f in (shannon_entropy, char_stats, tokenize, token_labels, format_values, high_entropy_tokens, log_features, feature_stats, zscore_reasons, stride_sample, nb_train_counts, nb_predict, nb_crossval, nb_accuracy, class_distribution, tfidf_vocab, tfidf_weights, iforest_scores, kmeans_clusters, kmeans_silhouette, ml_anomalies, ml_metrics, entropy_flags)
 }
 _STATS = text.char_stats_sql("text")
 _CROSS = bayes.cross_validated_sql(CORPUS)
@@ -124,7 +160,7 @@ ORACLE_SQL = {
     "shannon_entropy": f"SELECT doc_id, round({text.shannon_entropy_sql('text')}, 6) AS entropy FROM ({DOCS})",
     "char_stats": f"SELECT doc_id, {', '.join(f'{v} AS {n}' if n == 'len' else f'round({v}, 6) AS {n}' for n, v in _STATS.items())} FROM ({DOCS})",
     "tokenize": f"SELECT line_number, array_to_string(tokens, ' ') AS tokens FROM ({text.tokens_sql(f'SELECT line_number, raw FROM ({logs.ENTRIES})', 'raw')})",
-    "high_entropy_tokens": f"SELECT doc_id, token, round(entropy, 2) AS entropy FROM ({text.high_entropy_sql(DOCS, 'doc_id', 'text')})",
+    "high_entropy_tokens": f"SELECT doc_id, token, round(entropy, 2) AS entropy FROM ({text.high_entropy_sql(KEYED, 'doc_id', 'text')})",
     "log_features": f"SELECT line_number, {', '.join(f'round({n}, 6) AS {n}' for n in features.LOG_NAMES)} FROM ({FEATURES})",
     "feature_stats": f"SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM ({features.feature_stats_sql(FEATURES, features.LOG_NAMES)})",
     "zscore_reasons": f"SELECT line_number, reasons FROM ({features.odd_features_sql(FEATURES, features.LOG_NAMES, features.LOG_ODD)})",
@@ -134,6 +170,9 @@ ORACLE_SQL = {
     "nb_crossval": _CROSS,
     "nb_accuracy": f"SELECT label, count(*)::BIGINT AS n, round(avg((label = predicted)::INT), 6) AS accuracy FROM ({_CROSS}) GROUP BY 1",
     "class_distribution": f"SELECT label, count, round(count / sum(count) OVER (), 6) AS ratio FROM (SELECT CASE WHEN confidence < {bayes.SURE} THEN 'benign' ELSE label END AS label, count(*)::BIGINT AS count FROM ({PREDICTED}) GROUP BY 1)",
+    "entropy_flags": hybrid.entropy_flags_sql(KEYED, "doc_id", "text"),
+    "token_labels": f"SELECT {text.labelled_sql('token')} AS sign, count(*)::BIGINT AS n FROM (SELECT unnest(tokens) AS token FROM ({text.tokens_sql(f'SELECT line_number, raw FROM ({logs.ENTRIES})', 'raw')})) WHERE starts_with(token, '§') GROUP BY 1",
+    "format_values": f"SELECT o_orderkey, {formats.bytes_said_sql('n')} AS bytes, {formats.number_said_sql('n')} AS number, {formats.percent_said_sql('share')} AS percent, {formats.percent_said_sql('share', 1)} AS percent_1, {formats.time_said_sql('moment')} AS time FROM ({_ORDERS})",
     "tfidf_vocab": f"SELECT token, df, round(idf, 6) AS idf FROM ({terms.vocabulary_sql(DOCS, 'doc_id', 'text')})",
     "tfidf_weights": f"SELECT doc_id, token, round(weight, 6) AS weight FROM ({terms.weights_sql(DOCS, 'doc_id', 'text')})",
 }

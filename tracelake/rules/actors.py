@@ -43,19 +43,19 @@ TOOLS = (
 )
 # Groups, their techniques and tools.
 ACTORS = (
-    ("G0102", "T1486 T1003 T1021 T1071 T1105 T1490 T1567", "cobaltstrike mimikatz psexec softperfect rclone anydesk trickbot"),
-    ("G1032", "T1486 T1003 T1021 T1567 T1490", "mimikatz psexec softperfect rclone megasync impacket"),
-    ("G0008", "T1486 T1003 T1021 T1490", "mimikatz psexec softperfect rclone megasync advipscan"),
-    ("G1017", "T1090 T1078 T1046 T1003 T1552", "frp impacket mimikatz"),
-    ("G0096", "T1505 T1071 T1003 T1059 T1105", "cobaltstrike mimikatz chinachopper plink"),
-    ("G0045", "T1071 T1003 T1090 T1078", "plink quasar mimikatz psexec"),
-    ("G0049", "T1059 T1505 T1090 T1071", "plink mimikatz"),
-    ("G0016", "T1059 T1071 T1003 T1078 T1027", "cobaltstrike mimikatz"),
-    ("G0007", "T1071 T1003 T1059 T1566", "xagent mimikatz"),
-    ("G0032", "T1105 T1486 T1071 T1059 T1003", "mimikatz metasploit"),
-    ("G1015", "T1078 T1621 T1003 T1090", "mimikatz impacket ngrok anydesk psexec"),
-    ("G0046", "T1059 T1071 T1055 T1486", "cobaltstrike carbanak mimikatz"),
-    ("G0129", "T1071 T1105 T1547 T1027", "plugx cobaltstrike"),
-    ("G0010", "T1071 T1027 T1090 T1003", "mimikatz"),
-    ("G0035", "T1078 T1003 T1046 T1133", "impacket mimikatz nmap"),
+    ("G0102", ("T1486", "T1003", "T1021", "T1071", "T1105", "T1490", "T1567"), ("cobaltstrike", "mimikatz", "psexec", "softperfect", "rclone", "anydesk", "trickbot")),
+    ("G1032", ("T1486", "T1003", "T1021", "T1567", "T1490"), ("mimikatz", "psexec", "softperfect", "rclone", "megasync", "impacket")),
+    ("G0008", ("T1486", "T1003", "T1021", "T1490"), ("mimikatz", "psexec", "softperfect", "rclone", "megasync", "advipscan")),
+    ("G1017", ("T1090", "T1078", "T1046", "T1003", "T1552"), ("frp", "impacket", "mimikatz")),
+    ("G0096", ("T1505", "T1071", "T1003", "T1059", "T1105"), ("cobaltstrike", "mimikatz", "chinachopper", "plink")),
+    ("G0045", ("T1071", "T1003", "T1090", "T1078"), ("plink", "quasar", "mimikatz", "psexec")),
+    ("G0049", ("T1059", "T1505", "T1090", "T1071"), ("plink", "mimikatz")),
+    ("G0016", ("T1059", "T1071", "T1003", "T1078", "T1027"), ("cobaltstrike", "mimikatz")),
+    ("G0007", ("T1071", "T1003", "T1059", "T1566"), ("xagent", "mimikatz")),
+    ("G0032", ("T1105", "T1486", "T1071", "T1059", "T1003"), ("mimikatz", "metasploit")),
+    ("G1015", ("T1078", "T1621", "T1003", "T1090"), ("mimikatz", "impacket", "ngrok", "anydesk", "psexec")),
+    ("G0046", ("T1059", "T1071", "T1055", "T1486"), ("cobaltstrike", "carbanak", "mimikatz")),
+    ("G0129", ("T1071", "T1105", "T1547", "T1027"), ("plugx", "cobaltstrike")),
+    ("G0010", ("T1071", "T1027", "T1090", "T1003"), ("mimikatz",)),
+    ("G0035", ("T1078", "T1003", "T1046", "T1133"), ("impacket", "mimikatz", "nmap")),
 )

@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
+from functools import lru_cache, reduce
+from re import _constants as op
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -43,6 +45,86 @@ class Rx:
         return f"(?i:{self.text})" if self.ignore_case else f"(?:{self.text})"
 
 
+#: Alternatives of a run of literals that are still told apart.
+_ALTERNATIVES = 32
+
+
+def _exact(item) -> set[str] | None:
+    """All texts that a part of a pattern can match, if they are few literals; boundaries match the empty one."""
+    kind, value = item
+    if kind is op.LITERAL:
+        return {chr(value).lower()}
+    if kind in (op.AT, op.ASSERT, op.ASSERT_NOT):
+        return {""}
+    if kind is op.SUBPATTERN:
+        return _joined(map(_exact, value[3]))
+    if kind is op.BRANCH:
+        parts = [_joined(map(_exact, branch)) for branch in value[1]]
+        return None if None in parts or sum(map(len, parts)) > _ALTERNATIVES else set().union(*parts)
+    if kind is op.IN and len(value) <= 4 and all(k is op.LITERAL for k, _ in value):
+        return {chr(c).lower() for _, c in value}
+    return None
+
+
+def _joined(parts) -> set[str] | None:
+    out = {""}
+    for part in parts:
+        if part is None or len(out) * len(part) > _ALTERNATIVES:
+            return None
+        out = {a + b for a in out for b in part}
+    return out
+
+
+def _better(a: set[str] | None, b: set[str] | None) -> set[str] | None:
+    """The set that says more: the one whose shortest text is longer."""
+    kept = [x for x in (a, b) if x and "" not in x]
+    return max(kept, key=lambda x: min(map(len, x)), default=None)
+
+
+def _needed(items) -> set[str] | None:
+    """Texts one of which every match of a sequence holds, or None if none are known."""
+    best, run = None, {""}
+    for item in items:
+        kind, value = item
+        longer = _joined((run, _exact(item)))
+        if longer is not None:
+            run = longer
+            continue
+        best, run = _better(best, run), {""}
+        if kind is op.SUBPATTERN:
+            best = _better(best, _needed(value[3]))
+        elif kind is op.BRANCH:
+            parts = [_needed(branch) for branch in value[1]]
+            best = _better(best, None if None in parts else set().union(*parts))
+        elif kind is op.MAX_REPEAT and value[0] > 0:
+            best = _better(best, _needed(value[2]))
+    return _better(best, run)
+
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> frozenset[str] | None:
+    """Lower-case texts one of which occurs, case ignored, in every text that a pattern matches; None if none are known."""
+    found = _needed(_parser.parse(pattern))
+    return frozenset(found) if found else None
+
+
+def guard(lower: Column, patterns: tuple[Rx, ...]) -> Column | None:
+    """A cheap test of a text in lower case that holds wherever one of the patterns occurs; None if there is none."""
+    sets = [needed(p.text) for p in patterns]
+    if None in sets:
+        return None
+    words = sorted(set().union(*sets), key=lambda w: (len(w), w))
+    words = [w for k, w in enumerate(words) if not any(v in w for v in words[:k])]  # a longer one says no more than its part
+    return holds(lower, words)
+
+
+def holds(text: Column, words: list[str]) -> Column:
+    """Whether a text holds one of a few words, as a short expression."""
+    if len(words) == 1:
+        return F.contains(text, F.lit(words[0]))
+    return F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(text, w))
+
+
 def i(*patterns: str) -> tuple[Rx, ...]:
     """Patterns that ignore case."""
     return tuple(Rx(p) for p in patterns)
@@ -53,9 +135,14 @@ def c(*patterns: str) -> tuple[Rx, ...]:
     return tuple(Rx(p, False) for p in patterns)
 
 
-def any_of(text: Column, patterns: tuple[Rx, ...]) -> Column:
-    """Whether any of the patterns occurs in a text: one literal expression, compiled once a task."""
-    return text.rlike("|".join(p.java for p in patterns))
+def any_of(text: Column, patterns: tuple[Rx, ...], lower: Column | None = None) -> Column:
+    """Whether any of the patterns occurs in a text: one literal expression, compiled once a task.
+
+    With the text in lower case it is tried only where a literal part of a pattern occurs.
+    """
+    found = text.rlike("|".join(p.java for p in patterns))
+    cheap = guard(lower, patterns) if lower is not None else None
+    return found if cheap is None else cheap & found
 
 
 def any_sql(text: str, patterns: tuple[Rx, ...]) -> str:

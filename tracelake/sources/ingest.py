@@ -1,7 +1,8 @@
 """Files to lines or rows of cells.
 
-Text in UTF-8 is read by Spark's text source and numbered within each file without gathering it.
-Files in other encodings and spreadsheets are read whole, one file a row, and decoded in tasks.
+Text is read by Spark's text source and numbered within each file without gathering it. Lines of files
+that are no UTF-8 are decoded in tasks, by the encoding that fits their file best. Files in UTF-16 and
+spreadsheets are read whole, one file a row.
 """
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import html
 import io
 import re
 import zipfile
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -35,19 +37,68 @@ def kind(path: str) -> str:
     return "sheet" if ext in SHEETS else "table" if ext in TABLES else "text"
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_number, line) of text files; every physical line counts, blank ones too.
+def _numbered(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_number, value) of text files, the value's bytes as they are.
 
     A line's number is its place in its block of the file plus the lines of the blocks before:
     one count a block, no sort of lines.
     """
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.regexp_replace("value", r"\r\z", "").alias("line"), F.monotonically_increasing_id().alias("at"))
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
     blocks = raw.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
     w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = blocks.select("file", "block", (F.coalesce(F.sum("n").over(w), F.lit(0)) - F.col("first") + 1).alias("shift"))
-    bare = F.when(F.col("line_number") == 1, F.regexp_replace("line", "^﻿", "")).otherwise(F.col("line"))
-    numbered = raw.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_number"), "line")
-    return numbered.withColumn("line", bare)
+    return raw.join(starts, ["file", "block"]).select("file", (F.col("at") + F.col("shift")).alias("line_number"), "value")
+
+
+def _bare(value: Column) -> Column:
+    """A line without the sign that ends it and the mark that a file's first one may start with."""
+    line = F.regexp_replace(value, r"\r\z", "")
+    return F.when(F.col("line_number") == 1, F.regexp_replace(line, "^﻿", "")).otherwise(line)
+
+
+def read_lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(file, line_number, line) of text files in UTF-8; every physical line counts, blank ones too."""
+    return _numbered(spark, path).select("file", "line_number", _bare(F.col("value")).alias("line"))
+
+
+def _tried(value: Column) -> Column:
+    """array<struct(bad int, line string)>: a line's bytes read as UTF-8 and as each fallback, and how many characters are lost."""
+    ship()
+
+    @F.arrow_udf("array<struct<bad:int,line:string>>")
+    def tried(rows: pa.Array) -> pa.Array:
+        out = []
+        for x in rows:
+            texts = [(x.as_py() or b"").decode(name, "replace") for name in ("utf-8", *FALLBACKS)]
+            out.append([{"bad": t.count("\ufffd"), "line": t} for t in texts])
+        return pa.array(out, pa.list_(pa.struct([("bad", pa.int32()), ("line", pa.string())])))
+
+    return tried(value.cast("binary"))
+
+
+def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_number, line) of text files in UTF-8, UTF-16 with a mark, or a fallback encoding.
+
+    A file that holds invalid UTF-8 is read by the fallback that loses least, all its lines alike; no
+    other file is decoded in Python.
+    """
+    rows = _numbered(spark, path)
+    start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
+    wide = F.coalesce(F.max((F.col("line_number") == 1) & start.isin("FFFE", "FEFF")), F.lit(False))
+    odd = rows.groupBy("file").agg((~F.bool_and(F.is_valid_utf8("value"))).alias("bad"), wide.alias("wide")).where("bad or wide").collect()  # a row for each such file
+    plain = rows.join(F.broadcast(spark.createDataFrame([(r["file"],) for r in odd], "file string")), "file", "left_anti") if odd else rows
+    parts = [plain.select("file", "line_number", _bare(F.col("value")).alias("line"))]
+    if names := [r["file"] for r in odd if r["wide"]]:
+        parts.append(reduce(DataFrame.unionByName, [read_any(spark, n) for n in names]))
+    if names := [r["file"] for r in odd if not r["wide"]]:
+        tried = _numbered(spark, names).select("file", "line_number", _tried(F.col("value")).alias("tried"))
+        bad = [F.sum(F.col("tried")[k]["bad"]) for k in range(1 + len(FALLBACKS))]
+        best = F.lit(0)
+        for k in range(1, len(bad)):  # the first fallback that loses fewer characters than UTF-8
+            best = F.when((best == 0) & (bad[k] < bad[0]), k).otherwise(best)
+        chosen = tried.groupBy("file").agg(best.alias("k"))
+        parts.append(tried.join(chosen, "file").select("file", "line_number", _bare(F.get("tried", F.col("k"))["line"]).alias("line")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def decode_bytes(raw: bytes) -> str:
@@ -110,7 +161,12 @@ def _strings(xml: str) -> list[str]:
 
 
 def sheet_rows(content: bytes, most: int | None = None):
-    """Rows of the first sheet of a workbook, one at a time; optionally only the first `most`."""
+    """Rows of the first sheet of a workbook, one at a time; optionally only the first `most`.
+
+    A file that is no zipped workbook (a binary one of old, say) has none that can be read, and says so.
+    """
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        raise ValueError("not an XML workbook: save it as .xlsx")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         shared = _strings(z.read("xl/sharedStrings.xml").decode()) if "xl/sharedStrings.xml" in names else []
@@ -171,11 +227,11 @@ def ingest(spark: SparkSession, path: str, most: int | None = None) -> tuple[str
     """
     how = kind(path)
     if how == "text":
-        return "log", read_lines(spark, path), []
+        return "log", read_text(spark, path), []
     if how == "sheet":
         rows = read_sheets(spark, path, most)
     else:
-        lines = read_lines(spark, path)
+        lines = read_text(spark, path)
         head = lines.where("line_number = 1").select("line").first()
         rows = table_rows(lines, delimiter(head[0] if head else ""))
     top = rows.where("row_number = 0").select("cells").first()

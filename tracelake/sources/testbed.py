@@ -115,9 +115,22 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(corpus.documents(), "doc int, text string, label string")
 
 
+def spread(spark: SparkSession, sf_dir: str, table: str, *columns: str) -> DataFrame:
+    """A driver table, dealt to all cores: each is one small file, which Spark reads in one task.
+
+    A table of as many splits as there are cores isn't moved.
+    """
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def view(sql, table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """A view over the driver's table in Spark."""
-    return spark.sql(sql("spark").replace(f"FROM {table} ", f"FROM parquet.`{sf_dir}/{table}.parquet` "))
+    name = f"tracelake_{table}"
+    spread(spark, sf_dir, table).createOrReplaceTempView(name)
+    return spark.sql(sql("spark").replace(f"FROM {table} ", f"FROM {name} "))
 
 
 access_lines = partial(view, access_log, "events")
