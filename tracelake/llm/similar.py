@@ -6,9 +6,11 @@ its shingles under different hashes (two texts that are 0.8 alike meet in none w
 links without its Jaccard being counted. Texts with the same shingles collapse to one before.
 
 First each member of a bucket (a band or a SimHash component) is held to the bucket's two hubs, its
-least and its greatest key, which joins the large groups by few pairs; then those of a band that are
-still in different components are held to each other. So what a band brings together is never left
-uncounted. Shingle sets are kept for the texts that are compared only.
+least and its greatest key, which joins the large groups by few pairs. What is still in different
+components of one band is dealt anew, under the rarest of its shingles (a prefix filter, which no
+alike pair escapes), held to the hubs of those buckets, and at last, where components still differ,
+to each other. So what a band brings together is never left out, and texts that share only what is
+common aren't compared. Shingle sets are made for the texts that are compared only.
 
 Defined cases: a null text counts as empty; texts without words are alike; a text of fewer words
 than a shingle is one shingle; repeated rows and copies share a component; ties go to the smaller
@@ -100,18 +102,50 @@ def _sets(width: int):
     return run
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, named: DataFrame, width: int) -> DataFrame:
-    """Of pairs of keys (a, b) those whose sets are alike: sets are made again from one text of each key, and of no other."""
+def _grams(keys: DataFrame, sets: DataFrame, named: DataFrame, width: int) -> DataFrame:
+    """(key, grams) of some keys: sets are made again from one text of each, and of no other."""
+    marks = cut(sets.join(keys, "key").select("mark"), "used")
+    return cut(named.join(marks, "mark", "left_semi").select("text").mapInArrow(_sets(width), "key long, grams array<long>").dropDuplicates(["key"]), "grams")
+
+
+def _confirmed(pairs: DataFrame, grams: DataFrame) -> DataFrame:
+    """Of pairs of keys (a, b) those whose sets are alike."""
     up, down = ALIKE
-    used = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    marks = cut(sets.join(used, "key").select("mark"), "used")
-    grams = named.join(marks, "mark", "left_semi").select("text").mapInArrow(_sets(width), "key long, grams array<long>").dropDuplicates(["key"])
-    grams = cut(grams, "grams")
     both = pairs.join(grams.select(F.col("key").alias("a"), F.col("grams").alias("x")), "a").join(grams.select(F.col("key").alias("b"), F.col("grams").alias("y")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
     return cut(both.where(F.col("common") * down >= (F.size("x") + F.size("y") - F.col("common")) * up).select("a", "b"), "alike")
 
 
+def _hub_pairs(buckets: DataFrame) -> DataFrame:
+    """Each member of a bucket (bucket, key) with the bucket's least and greatest key, as pairs (a, b), a < b."""
+    hubs = buckets.groupBy("bucket").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
+    held = buckets.join(hubs, "bucket").select("key", F.explode(F.array("low", "high")).alias("hub")).where("hub <> key")
+    return cut(held.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct(), "tried")
+
+
+def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
+    """Members, with their roots, of the buckets whose members aren't all in one component."""
+    roots = components(links)
+    placed = buckets.join(roots, buckets["key"] == roots["node"], "left").drop("node").withColumn("root", F.coalesce("root", "key"))
+    several = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
+    return cut(placed.join(several, "bucket"), "open")
+
+
+def _prefixes(grams: DataFrame) -> DataFrame:
+    """(bucket, key, n): every set under the rarest of its shingles, as many as two alike sets can't both do without.
+
+    Of a set of n shingles less than n / 5 + 1 can be missing in a set alike to it, so two alike sets
+    share one of these, whatever the order, as long as it is the same for all; that by rarity among the
+    sets at hand makes buckets small.
+    """
+    up, down = ALIKE
+    rows = grams.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
+    often = rows.groupBy("gram").agg(F.count("*").alias("often"))
+    ranked = rows.join(often, "gram").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
+    kept = F.slice("grams", 1, F.expr(f"n - cast(ceil(n * {up} / {down}) as int) + 1"))
+    return ranked.select("key", "n", F.explode(kept).alias("g")).where("g.often > 1").select(F.col("g.gram").alias("bucket"), "key", "n")
+
+
 def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
     """(id, key) of every row, and (key, least id, root) of every distinct set."""
     spark = docs.sparkSession
@@ -123,21 +157,21 @@ def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame
     sets = cut(rows.groupBy("key").agg(F.min("id").alias("least"), F.min("mark").alias("mark"), F.min("fp").alias("fp")), "sets")
     members = rows.select("key", F.explode("bands").alias("band")).distinct()
     shared = members.groupBy("band").agg(F.count("*").alias("in")).where("in > 1").select("band")
-    members = cut(members.join(shared, "band"), "bands")
+    members = cut(members.join(shared, "band").select(F.struct(F.lit(1).alias("kind"), "band").alias("bucket"), "key"), "bands")
     prints = components(simhash.print_links(sets.select("fp").distinct()))
-    buckets = sets.join(prints, sets["fp"] == prints["node"], "left").select(F.struct(F.lit(0).alias("kind"), F.coalesce("root", "fp").alias("band")).alias("band"), "key")
-    buckets = members.select(F.struct(F.lit(1).alias("kind"), "band").alias("band"), "key").unionAll(buckets)
-    hubs = buckets.groupBy("band").agg(F.min("key").alias("low"), F.max("key").alias("high")).where("low < high")
-    held = buckets.join(hubs, "band").select("key", F.explode(F.array("low", "high")).alias("hub")).where("hub <> key")
-    tried = cut(held.select(F.least("hub", "key").alias("a"), F.greatest("hub", "key").alias("b")).distinct(), "tried")
-    links = _confirmed(tried, sets, named, width)
-    roots = components(links)
-    placed = members.join(roots, members["key"] == roots["node"], "left").select("band", "key", F.coalesce("root", "key").alias("root"))
-    open_ = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("band")
-    left = cut(placed.join(open_, "band"), "open")
-    other = left.select("band", F.col("key").alias("b"), F.col("root").alias("other"))
-    more = left.withColumnRenamed("key", "a").join(other, "band").where("a < b and root <> other").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    joined = components(links.unionAll(_confirmed(cut(more, "pairs"), sets, named, width)))
+    looks = sets.join(prints, sets["fp"] == prints["node"], "left").select(F.struct(F.lit(0).alias("kind"), F.coalesce("root", "fp").alias("band")).alias("bucket"), "key")
+    tried = _hub_pairs(members.unionAll(looks))
+    links = _confirmed(tried, _grams(tried.select(F.explode(F.array("a", "b")).alias("key")).distinct(), sets, named, width))
+    grams = _grams(_open(members, links).select("key").distinct(), sets, named, width)
+    few = cut(_prefixes(grams), "prefixes")
+    again = _hub_pairs(_open(few, links).select("bucket", "key"))
+    links = links.unionAll(_confirmed(cut(again.join(tried, ["a", "b"], "left_anti"), "pairs"), grams))
+    left = _open(few, links)
+    other = left.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
+    up, down = ALIKE
+    more = left.withColumnRenamed("key", "a").join(other, "bucket").where(f"a < b and root <> other and n * {down} >= m * {up} and m * {down} >= n * {up}")
+    more = more.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti")
+    joined = components(links.unionAll(_confirmed(cut(more, "pairs"), grams)))
     return rows.select("id", "key"), sets.join(joined, sets["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
 
 
