@@ -1,12 +1,12 @@
 """Operator 5: a quality classifier by co-training of two views.
 
 View one is the text: hashed words (presence, weighted by idf) and shares of character kinds. View
-two is page metadata: source, language, length, and the layout (lines, their lengths, repeats,
-markup). Each view has a logistic regression. In every round each classifier labels the unlabelled
-rows that it is surest of, in the proportion of the labelled classes, and both learn
-from the other's labels as well. At the end each view is calibrated on labelled rows kept aside,
-and a document's score is the mean of the calibrated log-odds, weighted by how well each view did
-there.
+two is page metadata, nothing of which is read from the text's content: source, language, number of
+characters, and each two of them together. Each view has a logistic regression. In every round each
+classifier labels the unlabelled rows that it is surest of (ADDED, in the proportion of the labelled
+classes), and both learn from the other's labels as well. At the end each view is calibrated on
+labelled rows kept aside, and a document's score is the mean of the calibrated log-odds, weighted by
+how well each view did there.
 
 Labelled rows (LABELLED at most) are a sample by the hash of the id. Document frequencies, the
 candidates of every round and the scores cover all documents: tasks score the unlabelled rows with
@@ -16,13 +16,17 @@ quality and it isn't toxic.
 
 Defined cases: a null text counts as empty; null metadata is a value of its own; ids with several
 labels, or none, count as unlabelled if the labels differ; without labels of both classes every
-score is 0.5; repeated rows are scored each.
+score is 0.5; repeated rows are scored each, and are candidates once; of equally sure rows those of
+the smaller hash are taken; texts of any length are read whole; columns other than the named ones are
+carried along, and output columns replace input columns of the same name; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -60,22 +64,12 @@ _PLAIN = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _KIND = np.array([4 if b >= 128 else 1 if chr(b).isupper() else 2 if chr(b).isdigit() else 3 if chr(b) in "!?#$%&*@^~|<>={}[]\\_" else 0 for b in range(256)])
 
 
-def meta_view(source: str | None, lang: str | None, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features of a page beside its words: (places, values)."""
-    lines = (text or "").split("\n")
-    n = len(text or "")
-    facts = [
-        f"source {source}",
-        f"lang {lang}",
-        f"length {int(2 * np.log2(n + 1))}",
-        f"lines {int(2 * np.log2(len(lines)))}",
-        f"line {int(2 * np.log2(n / len(lines) + 1))}",
-        f"same lines {int(8 * (1 - len(set(lines)) / len(lines)))}",
-        f"bars {min(4, (text or '').count('|') * 200 // (n + 1))}",
-        f"marks {min(4, sum((text or '').count(c) for c in '!#$%&*') * 50 // (n + 1))}",
-        "all",
-    ]
-    return np.unique([zlib.crc32(x.encode()) % META for x in facts]).astype(np.int64), np.ones(len({zlib.crc32(x.encode()) % META for x in facts}))
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features of a page beside its text: (places, values)."""
+    facts = [("source", source), ("lang", lang), ("length", int(2 * np.log2((n_chars or 0) + 1)))]
+    names = [*(f"{a} {x}" for a, x in facts), *(f"{a} {x} {b} {y}" for (a, x), (b, y) in combinations(facts, 2)), "all"]
+    places = np.unique([zlib.crc32(x.encode()) % META for x in names]).astype(np.int64)
+    return places, np.ones(len(places))
 
 
 class Rows:
@@ -142,7 +136,7 @@ class Model:
     added: int = 0
 
     def views(self, texts: list, sources: list, langs: list) -> list[Rows]:
-        return [Rows([text_view(t) for t in texts], self.idf), Rows([meta_view(s, l, t) for s, l, t in zip(sources, langs, texts)])]
+        return [Rows([text_view(t) for t in texts], self.idf), Rows([meta_view(s, l, len(t or "")) for s, l, t in zip(sources, langs, texts)])]
 
     def score(self, texts: list, sources: list, langs: list) -> np.ndarray:
         if not self.weights:
@@ -154,14 +148,14 @@ class Model:
         return sigmoid(total / say)
 
 
-#: (places, values) of both views of a row, as columns.
-VIEWS = "at0 array<int>, x0 array<double>, at1 array<int>, x1 array<double>"
+#: (places, values) of both views of a row, as columns of their bytes, which the driver holds as they are.
+VIEWS = "at0 binary, x0 binary, at1 binary, x1 binary"
+_KINDS = (np.int32, np.float64)
 
 
 def _feature_columns(parsed: list[tuple]) -> list[pa.Array]:
     """Columns VIEWS of pairs (text view, metadata view)."""
-    kinds = pa.list_(pa.int32()), pa.list_(pa.float64())
-    return [pa.array([r[v][k] for r in parsed], kinds[k]) for v in range(2) for k in range(2)]
+    return [pa.array([r[v][k].astype(_KINDS[k]).tobytes() for r in parsed], pa.binary()) for v in range(2) for k in range(2)]
 
 
 def _features(batches):
@@ -170,12 +164,12 @@ def _features(batches):
         for k in range(0, batch.num_rows, ROWS):
             part = batch.slice(k, ROWS)
             texts, sources, langs = (part.column(c).to_pylist() for c in (1, 2, 3))
-            parsed = [(text_view(t), meta_view(s, l, t)) for t, s, l in zip(texts, sources, langs)]
+            parsed = [(text_view(t), meta_view(s, l, len(t or ""))) for t, s, l in zip(texts, sources, langs)]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(4), *_feature_columns(parsed)], ["key", "good", "at0", "x0", "at1", "x1"])
 
 
 def _views(r) -> list[tuple[np.ndarray, np.ndarray]]:
-    return [(np.array(r[f"at{v}"], np.int64), np.array(r[f"x{v}"], float)) for v in range(2)]
+    return [(np.frombuffer(r[f"at{v}"], _KINDS[0]).astype(np.int64), np.frombuffer(r[f"x{v}"], _KINDS[1])) for v in range(2)]
 
 
 def _surest(held, quotas: list[int]):
@@ -187,7 +181,7 @@ def _surest(held, quotas: list[int]):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 keys, texts, sources, langs = (c.to_pylist() for c in batch.slice(k, ROWS).columns)
-                parsed = [(text_view(t), meta_view(s, l, t)) for t, s, l in zip(texts, sources, langs)]
+                parsed = [(text_view(t), meta_view(s, l, len(t or ""))) for t, s, l in zip(texts, sources, langs)]
                 free = np.array([x not in taken for x in keys])
                 for v in range(2):
                     a, b, _ = calibration[v]
