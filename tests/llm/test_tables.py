@@ -176,3 +176,14 @@ def test_conversations(spark, monkeypatch):
         assert g["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
     assert len(got) == len({r[0] for r in rows})
     assert chat.digests(chat.format_turns(df.limit(0))).count() == 0
+
+
+def test_nearest_among_large_components(spark):
+    rows = [(k, [float(k), 1.0, -2.0]) for k in range(60)] + [(100, [1e9, 0.0, 1e9]), (120, [3e17, -3e17, 1.0]), (140, [1e300, 1.0, 1.0])]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    top = 2**63 - 1
+    hold = lambda x: max(-top - 1, min(top, x))
+    whole = {i: [hold(int(Fraction(x) * 64 // 1)) for x in v] for i, v in rows}
+    for q in (0, 20, 40, 100, 120, 140):
+        near = sorted((-hold(sum(a * b for a, b in zip(whole[q], v))), i) for i, v in whole.items() if i != q)[:20]
+        assert [got[q, n + 1] for n in range(20)] == [(i, -s) for s, i in near]
