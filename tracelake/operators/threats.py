@@ -111,7 +111,7 @@ def _cve_facts(cve: Column) -> list[Column]:
     return out
 
 
-def cveevidence_of(hits: DataFrame) -> DataFrame:
+def cve_evidence(hits: DataFrame) -> DataFrame:
     """(cve, evidence, first_line, lines) of every different evidence of a vulnerability, given `cve_hits`."""
     return hits.groupBy("cve", F.regexp_replace("evidence", "^L[0-9]+: ", "").alias("evidence")).agg(F.min("line_number").alias("first_line"), F.count("*").alias("lines"))
 
