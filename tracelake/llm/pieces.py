@@ -39,7 +39,7 @@ REMEMBERED, CHARACTERS = 150_000, 2_000_000
 #: Characters of a stretch that has its bitfield in one number; starts of a window of a longer one.
 SHORT = 63
 #: Stretches that backtrack at once, and characters of the texts encoded at once, about.
-ROWS, TEXTS = 1 << 14, 4_000_000
+ROWS, TEXTS = 1 << 14, 2_000_000
 #: Slots of the hash of transitions (a power of two) and of the memory of pairs.
 _SLOTS, _PAIRS = 19, 20
 _ODD = np.uint64(0x9E3779B97F4A7C15)
