@@ -59,17 +59,16 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def with_position(docs: DataFrame) -> DataFrame:
-    """`docs` as read from files, with the row's place in them, file by file, in column `position`."""
+    """`docs` as read from files that Spark wrote, with `position`: numbers in the order of the rows, file by file.
+
+    The number of the file and the row's place in it make one, so nothing has to be counted or moved.
+    """
     part = F.regexp_extract("_metadata.file_name", "part-([0-9]+)", 1).try_cast("long")
-    docs = docs.select("*", F.struct(part.alias("part"), F.col("_metadata.file_name").alias("name")).alias("file__"), F.col("_metadata.row_index").alias("row__"))
-    files = docs.groupBy("file__").agg(F.count("*").alias("n__"))  # a row for each file
-    before = Window.orderBy("file__").rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select("file__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
-    return docs.join(files, "file__").withColumn("position", F.col("before__") + F.col("row__")).drop("file__", "before__", "row__")
+    return docs.select("*", (F.shiftleft(F.coalesce(part, F.lit(0)), 33) + F.col("_metadata.row_index")).alias("position"))
 
 
 def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every text as token ids, and the text that they decode to in place of the text; `position` is the place in the mix.
+    """Every text as token ids, and the text that they decode to in place of the text; `position` goes up in the order of the mix.
 
     A null text has no ids and decodes to the empty text.
     """
