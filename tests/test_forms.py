@@ -1,9 +1,10 @@
 """Formats, seeded numbers, literal guards, encodings in whole analyses, and what reports say."""
 
 import datetime as dt
-import itertools
 import math
 
+import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -30,9 +31,16 @@ def test_formats(spark):
 
 def test_seeded_numbers_are_the_published_ones():
     assert seeded.seed_from("a") == 0xE40C292C and seeded.seed_from("a", 1) == seeded.seed_from("a|1")
-    assert list(itertools.islice(seeded.uniform(1), 2)) == [pytest.approx(0.6270739405881613), pytest.approx(0.002735721180215478)]
-    drawn = seeded.drawn(seeded.uniform(7), list(range(50)), 10)
-    assert len(set(drawn)) == 10 and drawn == seeded.drawn(seeded.uniform(7), list(range(50)), 10) and seeded.drawn(seeded.uniform(7), [1, 2], 5) == [1, 2]
+    assert list(seeded.uniform(1, [0, 1])) == [pytest.approx(0.6270739405881613), pytest.approx(0.002735721180215478)]
+    assert list(seeded.uniform(1, [1])) == list(seeded.uniform(1, [0, 1]))[1:]
+    many = seeded.uniform(7, range(10_000))
+    assert 0 <= many.min() and many.max() < 1 and abs(many.mean() - 0.5) < 0.02
+
+
+def test_seeded_numbers_of_sql():
+    db = duckdb.connect()
+    assert [r[0] for r in db.execute(f"SELECT {seeded.uniform_sql('4000000000', 'i')} FROM range(100) AS t(i) ORDER BY i").fetchall()] == list(seeded.uniform(4_000_000_000, range(100)))
+    assert db.execute(f"SELECT {seeded.seed_from_sql('s')}::BIGINT FROM (SELECT '12|é x' AS s)").fetchone()[0] == seeded.seed_from(12, "é x")
 
 
 #: For each pattern a text that it matches, built from what it needs, would pass its guard; these are written by hand.
@@ -92,15 +100,14 @@ def test_whole_record_analysis(spark, tmp_path):
 
 
 def test_silhouette_by_hand(spark):
-    from pyspark.ml.linalg import Vectors
-
-    points, centres = [((0.0, 0.0), 0), ((1.0, 0.0), 0), ((5.0, 5.0), 1)], [[0.5, 0.0], [5.0, 5.0]]
-    df = spark.createDataFrame([(Vectors.dense(p), c) for p, c in points], ["features", "prediction"])
+    points, centres = [((0.0, 0.0), 0), ((1.0, 0.0), 0), ((5.0, 5.0), 1)], np.array([[0.5, 0.0], [5.0, 5.0]])
+    df = spark.createDataFrame([(clusters.apart(np.array([p]), centres)[0].tolist(),) for p, _ in points], "apart array<double>")
     want = []
     for p, c in points:
         own, other = math.dist(p, centres[c]), math.dist(p, centres[1 - c])
         want.append((other - own) / max(own, other))
-    assert clusters.silhouette(df, centres).first()["silhouette"] == pytest.approx(sum(want) / 3)
+    assert clusters.silhouette(clusters.Clusters(df, centres, []), spark).first()["silhouette"] == pytest.approx(sum(want) / 3)
+    assert clusters.silhouette(None, spark).first()["silhouette"] == 0
 
 
 def test_corpus_lines_differ_and_forms_stay_in_a_fold():

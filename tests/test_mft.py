@@ -64,5 +64,5 @@ def test_totals_count_times_and_unnamed(spark):
 
 def test_risk_of_records(spark):
     rows = records(spark, [cells(f"\\data\\file{k}.txt", n=str(k + 10)) for k in range(20)] + [cells("\\Users\\a\\Downloads\\inv.pdf.exe", n="99", active="Inactive")])
-    worst = hybrid.mft_anomalies(rows).first()
+    worst = hybrid.mft_anomalies(hybrid.mft_risk(rows)).first()
     assert worst["record_number"] == 99 and worst["score"] > 0.9

@@ -11,12 +11,27 @@ from pyspark.sql import functions as F
 from tracelake.rx import Rx, holds, needed, quoted
 
 
-def shannon_entropy(text: Column) -> Column:
-    """Bits a character; 0 for an empty or null text."""
+#: Different characters up to which each is counted by a pass over the text, which is quick; a text of more is sorted and counted in one pass.
+FEW_CHARACTERS = 96
+
+
+def shannon_entropy(text: Column, few: int = FEW_CHARACTERS) -> Column:
+    """Bits a character; 0 for an empty or null text. The work grows in proportion to the text, whatever its alphabet."""
     n = F.length(text)
-    chars = F.array_sort(F.array_distinct(F.split(text, "")))
-    shares = F.transform(F.filter(chars, lambda c: c != ""), lambda c: 1 - F.length(F.replace(text, c, F.lit(""))) / n)
-    return F.coalesce(F.when(n > 0, F.aggregate(shares, F.lit(0.0), lambda a, p: a - p * F.log2(p))), F.lit(0.0))
+    part = lambda a, p: a - p * F.log2(p)
+    shares = lambda chars: F.transform(chars, lambda c: 1 - F.length(F.replace(text, c, F.lit(""))) / n)
+
+    def run(acc: Column, c: Column) -> Column:
+        same = acc["last"] == c
+        ended = F.when(same | (acc["run"] == 0), acc["bits"]).otherwise(part(acc["bits"], acc["run"] / n))
+        return F.struct(c.alias("last"), F.when(same, acc["run"] + 1).otherwise(F.lit(1)).alias("run"), ended.alias("bits"))
+
+    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0.0).alias("bits"))
+    ordered = F.aggregate(F.array_sort(F.filter(F.split(text, ""), lambda c: c != "")), start, run, lambda acc: part(acc["bits"], acc["run"] / n))
+    # Lambdas hand the characters on, so that they are found once.
+    chars = F.array(F.array_sort(F.filter(F.array_distinct(F.split(text, "")), lambda c: c != "")))
+    bits = F.transform(chars, lambda x: F.when(F.size(x) <= few, F.aggregate(shares(x), F.lit(0.0), part)).otherwise(ordered))
+    return F.coalesce(F.when(n > 0, F.get(bits, F.lit(0))), F.lit(0.0))
 
 
 def shannon_entropy_sql(text: str) -> str:

@@ -1,23 +1,30 @@
-"""Multinomial naive Bayes over tokens, as joins and aggregates.
+"""Multinomial naive Bayes over tokens.
 
-The model is a table of counts, one row a token of the vocabulary and one column a label. A text's
-tokens join it (its size is that of the corpus, so it is broadcast if that is small), and a line's log
-probabilities are sums: tokens of a line meet on the map side already.
+Counting is a grouping. A model of up to HELD numbers is a matrix, a row a token and a column a label,
+that tasks hold: a line is scored where it is, in batches, as the sum of its tokens' rows, and nothing
+of it is moved. A larger model stays a table, which the tokens of the lines join; the sums of a line
+then meet again in a shuffle, with its tokens added up on the map side.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.functions.text import token_rows, tokens_sql, with_tokens
-from tracelake.store import cut
+from tracelake.session import ship
+from tracelake.store import cut, parallelism
 
 ALPHA, FOLDS, SURE = 1.0, 5, 0.3
 DIGITS = 6
+#: Numbers of a model that tasks hold; tokens summed up at once.
+HELD, BLOCK = 1 << 22, 1 << 16
 
 
 @dataclass
@@ -27,6 +34,32 @@ class Model:
     labels: list[str]
     prior: list[float]
     table: DataFrame  # token, p0, p1, ...
+    matrix: tuple[list[str], np.ndarray] | None = field(default=None, repr=False)
+
+    def small(self) -> tuple[list[str], np.ndarray] | None:
+        """Tokens and their rows, if tasks can hold them."""
+        if self.matrix is None:
+            most = HELD // max(1, len(self.labels))
+            rows = self.table.limit(most + 1).collect()  # HELD numbers at most
+            if len(rows) > most:
+                return None
+            self.matrix = [r["token"] for r in rows], np.array([r[1:] for r in rows], float).reshape(len(rows), -1)
+        return self.matrix
+
+
+def summed(tokens: pa.Array, words: pa.Array, matrix: np.ndarray, layer: np.ndarray | None = None) -> np.ndarray:
+    """For each list of tokens the sum of their rows; with `layer`, which matrix of several each list uses."""
+    out = np.zeros((len(tokens), matrix.shape[-1]))
+    row, flat = pc.list_parent_indices(tokens).to_numpy(), pc.list_flatten(tokens)
+    for k in range(0, len(flat), BLOCK):
+        place = pc.fill_null(pc.index_in(flat.slice(k, BLOCK), value_set=words), -1).to_numpy()
+        known = place >= 0
+        own, place = row[k : k + BLOCK][known], place[known]
+        if len(own):
+            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+            values = matrix[place] if layer is None else matrix[layer[own], place]
+            out[own[starts]] += np.add.reduceat(values, starts, axis=0)
+    return out
 
 
 def token_counts(docs: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
@@ -56,17 +89,43 @@ def _posterior(scores: list[Column], labels: list[str]) -> tuple[Column, Column]
     return label, 1 / total
 
 
-def predict(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
-    """(key, label, confidence) of every text; tokens outside the vocabulary don't count."""
+def _joined(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """(key, label, confidence) by a join of the tokens with the model's table, of any size."""
     n = len(model.labels)
     tokens = with_tokens(df.select(key, text), text).select(key, F.explode_outer("tokens").alias("token"))
-    # Spark broadcasts the table if it is small, as that of our corpus is; a caller's may be of any size.
     met = tokens.join(model.table, "token", "left")
     sums = met.groupBy(key).agg(*[F.round(F.coalesce(F.sum(f"p{k}"), F.lit(0.0)) + model.prior[k], DIGITS).alias(f"s{k}") for k in range(n)])
     label, p = _posterior([F.col(f"s{k}") for k in range(n)], model.labels)
     return sums.select(key, label.alias("label"), p.alias("confidence"))
 
 
+def classified(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """`df` with the label and confidence of every text; tokens outside the vocabulary don't count. `key` names a row."""
+    small = model.small()
+    if small is None:
+        return df.join(_joined(df, model, key, text), key)
+    spark = df.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast((pa.array(small[0], pa.string()), small[1]))  # HELD numbers at most
+
+    @F.arrow_udf("array<double>")
+    def sums(tokens: pa.Array) -> pa.Array:
+        found = summed(tokens, *held.value)
+        return pa.FixedSizeListArray.from_arrays(pa.array(found.reshape(-1)), found.shape[1]).cast(pa.list_(pa.float64()))
+
+    scored = with_tokens(df, text, "tokens__").withColumn("sums__", sums("tokens__")).drop("tokens__")
+    scores = [F.round(F.get("sums__", F.lit(k)) + p, DIGITS) for k, p in enumerate(model.prior)]
+    # As an array, so that a score is worked out once and not for each comparison.
+    scored = scored.withColumn("sums__", F.array(*scores))
+    label, p = _posterior([F.get("sums__", F.lit(k)) for k in range(len(scores))], model.labels)
+    return scored.withColumns({"label": label, "confidence": p}).drop("sums__")
+
+
+def predict(df: DataFrame, model: Model, key: str, text: str) -> DataFrame:
+    """(key, label, confidence) of every text."""
+    return classified(df.select(key, text), model, key, text).select(key, "label", "confidence")
+
+
 def class_distribution(predicted: DataFrame) -> DataFrame:
     """(label, count, ratio); unsure predictions count as benign."""
     sure = F.when(F.col("confidence") < SURE, "benign").otherwise(F.col("label"))
@@ -75,34 +134,87 @@ def class_distribution(predicted: DataFrame) -> DataFrame:
     return per.join(F.broadcast(total)).select("label", "count", (F.col("count") / F.col("total")).alias("ratio"))
 
 
-def cross_validated(docs: DataFrame, folds: int = FOLDS, text: str = "text", label: str = "label", order: str = "doc") -> DataFrame:
-    """(doc, label, predicted) of every labelled text by a model without its fold.
+def in_folds(docs: DataFrame, folds: int = FOLDS, label: str = "label", order: str = "doc") -> DataFrame:
+    """`docs` with `fold`: a label's texts dealt round by their order.
+
+    The place of a text among those of its label is that within its range of the order plus the label's
+    texts in the ranges before, so a label of most texts isn't sorted in one task.
+    """
+    dealt = docs.repartitionByRange(parallelism(docs.sparkSession), order).withColumn("part__", F.spark_partition_id())
+    held = cut(dealt, "folds")
+    sizes = held.groupBy(label, "part__").agg(F.count("*").alias("n__"))  # a row for each label and partition
+    before = F.sum("n__").over(Window.partitionBy(label).orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(F.col(label).alias("label__"), F.col("part__").alias("of__"), F.coalesce(before, F.lit(0)).alias("before__"))
+    place = F.row_number().over(Window.partitionBy("part__", label).orderBy(order))
+    ranked = held.withColumn("nth__", place).join(sizes, F.col(label).eqNullSafe(F.col("label__")) & (F.col("part__") == F.col("of__")))
+    return ranked.withColumn("fold", ((F.col("nth__") + F.col("before__") - 1) % folds).cast("int")).drop("nth__", "before__", "part__", "label__", "of__")
+
+
+def cross_validated(docs: DataFrame, folds: int = FOLDS, text: str = "text", label: str = "label", order: str = "doc", most: int = HELD) -> DataFrame:
+    """(order, label, predicted) of every labelled text by a model without its fold.
 
-    Folds deal a label's texts round by their order. One query serves all folds: a fold's model is
-    the counts of all texts less the fold's own.
+    A fold's model is the counts of all texts less the fold's own. Models of up to `most` numbers in
+    all are held by the tasks that score texts; larger ones are joined.
     """
-    from pyspark.sql import Window
-
-    place = F.row_number().over(Window.partitionBy(label).orderBy(order))  # the corpus is small
-    dealt = docs.withColumn("fold", (place - 1) % folds)
-    tokens = cut(token_rows(dealt, text, order, "fold", label), "tokens")  # five models and the tests use it
-    per = tokens.groupBy("fold", label, "token").agg(F.count("*").alias("n"))
-    fold_ids = docs.sparkSession.range(folds).select(F.col("id").cast("int").alias("test"))
-    kept = F.broadcast(fold_ids).join(per, F.col("test") != F.col("fold"))
-    counts = kept.groupBy("test", label, "token").agg(F.sum("n").alias("n"))
+    dealt = cut(in_folds(docs.select(order, text, label), folds, label, order), "dealt")
+    per = cut(token_rows(dealt, text, "fold", label).groupBy("fold", label, "token").agg(F.count("*").alias("n")), "counts")
+    sizes = dealt.groupBy("fold", label).agg(F.count("*").alias("n"), F.min(order).alias("first")).collect()  # a row for each label and fold
+    labels = sorted({r[label] for r in sizes}, key=lambda x: (x is None, x))
+    words = per.select("token").distinct()
+    if words.limit(most // max(1, folds * len(labels)) + 1).count() * folds * len(labels) > most:
+        return _crossed_joined(dealt, per, folds, text, label, order)
+    vocabulary = sorted(r["token"] for r in words.collect())  # `most` numbers at most, as counted
+    at, column = {w: k for k, w in enumerate(vocabulary)}, {x: k for k, x in enumerate(labels)}
+    counts, texts = np.zeros((folds, len(vocabulary), len(labels))), np.zeros((folds, len(labels)))
+    for r in per.toLocalIterator():
+        counts[r["fold"], at[r["token"]], column[r[label]]] = r["n"]
+    first: list[dict] = [{} for _ in range(folds)]
+    for r in sizes:
+        texts[r["fold"], column[r[label]]] = r["n"]
+        for test in range(folds):
+            if test != r["fold"]:
+                first[test][r[label]] = min(r["first"], first[test].get(r[label], r["first"]))
+    left, rest = counts.sum(axis=0) - counts, texts.sum(axis=0) - texts
+    known = left.sum(axis=2) > 0
+    odds = np.log((left + ALPHA) / (left.sum(axis=1) + ALPHA * known.sum(axis=1)[:, None])[:, None, :]) * known[:, :, None]
+    with np.errstate(divide="ignore"):
+        prior = np.log(rest / np.maximum(1, rest.sum(axis=1))[:, None])
+    # Of equal scores the label that came first among the fold's training texts wins.
+    ranks = [sorted(range(len(labels)), key=lambda k: (labels[k] not in own, own.get(labels[k], 0))) for own in first]
+    spark = docs.sparkSession
+    ship(spark)
+    held = spark.sparkContext.broadcast((pa.array(vocabulary, pa.string()), odds, prior, np.array(ranks), labels))  # `most` numbers
+
+    @F.arrow_udf("string")
+    def best(tokens: pa.Array, fold: pa.Array) -> pa.Array:
+        words, odds, prior, ranks, labels = held.value
+        of = fold.to_numpy()
+        scores = np.round(summed(tokens, words, odds, of) + prior[of], DIGITS)
+        order = ranks[of]
+        winner = np.take_along_axis(scores, order, axis=1).argmax(axis=1)
+        return pa.array([labels[k] for k in order[np.arange(len(of)), winner]], pa.string())
+
+    return with_tokens(dealt, text, "tokens__").select(order, label, best("tokens__", "fold").alias("predicted"))
+
+
+def _crossed_joined(dealt: DataFrame, per: DataFrame, folds: int, text: str, label: str, order: str) -> DataFrame:
+    """As `cross_validated`, by joins with the counts, for models of any size."""
+    fold_ids = dealt.sparkSession.range(folds).select(F.col("id").cast("int").alias("test"))
+    counts = F.broadcast(fold_ids).join(per, F.col("test") != F.col("fold")).groupBy("test", label, "token").agg(F.sum("n").alias("n"))
     totals = counts.groupBy("test", label).agg(F.sum("n").alias("total"))
     words = counts.groupBy("test").agg(F.count_distinct("token").alias("words"))
     sizes = F.broadcast(fold_ids).join(dealt, F.col("test") != F.col("fold")).groupBy("test", label).agg(F.count("*").alias("size"), F.min(order).alias("first"))
     all_of = sizes.groupBy("test").agg(F.sum("size").alias("all"))
-    facts = sizes.join(totals, ["test", label]).join(words, "test").join(all_of, "test")
+    facts = sizes.join(totals, ["test", label], "left").join(words, "test", "left").join(all_of, "test")
     known = counts.select("test", "token").distinct()
-    asked = tokens.select(order, F.col("fold").alias("test"), "token").groupBy(order, "test", "token").agg(F.count("*").alias("k")).join(known, ["test", "token"])
+    tokens = with_tokens(dealt, text, "tokens__").select(order, F.col("fold").alias("test"), F.explode_outer("tokens__").alias("token"))
+    asked = tokens.join(known.withColumn("known", F.lit(1)), ["test", "token"], "left").groupBy(order, "test", F.when(F.col("known") == 1, F.col("token")).alias("token")).agg(F.count("*").alias("k"))
     grid = asked.join(facts, "test").join(counts, ["test", label, "token"], "left")
-    part = F.col("k") * F.log((F.coalesce("n", F.lit(0)) + ALPHA) / (F.col("total") + ALPHA * F.col("words")))
-    scored = grid.groupBy(order, "test", label, "size", "all", "first").agg(F.sum(part).alias("s"))
+    part = F.when(F.col("token").isNotNull(), F.col("k") * F.log((F.coalesce("n", F.lit(0)) + ALPHA) / (F.coalesce("total", F.lit(0)) + ALPHA * F.col("words"))))
+    scored = grid.groupBy(order, "test", label, "size", "all", "first").agg(F.coalesce(F.sum(part), F.lit(0.0)).alias("s"))
     score = F.round(F.col("s") + F.log(F.col("size") / F.col("all")), DIGITS)
     best = scored.groupBy(order).agg(F.min_by(label, F.struct(-score, "first")).alias("predicted"))
-    return docs.select(order, label).join(best, order, "left")
+    return dealt.select(order, label).join(best, order, "left")
 
 
 def counts_sql(docs: str) -> str:
@@ -125,6 +237,6 @@ def cross_validated_sql(docs: str, folds: int = FOLDS) -> str:
       words AS (SELECT test, count(DISTINCT token) AS words FROM counts GROUP BY ALL), sizes AS (SELECT test, label, count(*) AS size, min(doc) AS first FROM tests JOIN dealt ON fold <> test GROUP BY ALL),
       facts AS (SELECT *, ln(size / sum(size) OVER (PARTITION BY test)) AS prior FROM sizes JOIN totals USING (test, label) JOIN words USING (test)),
       asked AS (SELECT doc, fold AS test, token, count(*) AS k FROM tokens t WHERE EXISTS (SELECT 1 FROM counts c WHERE c.test = t.fold AND c.token = t.token) GROUP BY ALL),
-      scored AS (SELECT doc, f.label, first, round(sum(k * ln((coalesce(n, 0) + {ALPHA}) / (total + {ALPHA} * words))) + any_value(prior), {DIGITS}) AS s
-        FROM asked JOIN facts f USING (test) LEFT JOIN counts c ON c.test = asked.test AND c.label = f.label AND c.token = asked.token GROUP BY doc, f.label, first)
+      scored AS (SELECT d.doc, f.label, first, round(coalesce(sum(k * ln((coalesce(n, 0) + {ALPHA}) / (total + {ALPHA} * words))), 0) + any_value(prior), {DIGITS}) AS s
+        FROM dealt d JOIN facts f ON f.test = d.fold LEFT JOIN asked USING (doc) LEFT JOIN counts c ON c.test = asked.test AND c.label = f.label AND c.token = asked.token GROUP BY d.doc, f.label, first)
       SELECT doc, label, predicted FROM ({docs}) LEFT JOIN (SELECT doc, arg_min(label, (-s, first)) AS predicted FROM scored GROUP BY doc) USING (doc)"""

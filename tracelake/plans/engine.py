@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracelake.operators import bayes, clusters, detect, hybrid, mft, parse, reason, threats
+from tracelake.operators import bayes, clusters, detect, features, hybrid, mft, parse, reason, threats
 from tracelake.plans.case import LogCase, RecordCase
 from tracelake.sources import ingest, testbed
+from tracelake.store import cut
 
 #: Characters at the start of a log that its format is told from.
 HEAD = 4000
@@ -45,22 +47,32 @@ def analyze_logs(entries: DataFrame, corpus: DataFrame | None = None) -> Analysi
     case = LogCase(entries)
     spark = entries.sparkSession
     labelled = corpus if corpus is not None else testbed.labelled(spark, "")
-    made: list[bayes.Model] = []
 
+    @cache
     def model() -> bayes.Model:
-        if not made:
-            made.append(bayes.fit(labelled))
-        return made[0]
+        return bayes.fit(labelled)
+
+    @cache
+    def lines() -> DataFrame:
+        return cut(entries, "entries")  # what learns from lines reads them several times
+
+    @cache
+    def risks() -> DataFrame:
+        return cut(hybrid.log_risk(lines(), model()), "risks")
+
+    @cache
+    def groups() -> clusters.Clusters | None:
+        return clusters.of_logs(lines(), "line_number", "raw", hybrid.log_seed(lines()))
 
     def text() -> DataFrame:
         return entries.select("line_number", detect.haystack().alias("text"))
 
     learned = {
-        "ml_anomalies": lambda: hybrid.log_anomalies(entries, model()),
-        "ml_classes": lambda: bayes.class_distribution(bayes.predict(entries, model(), "line_number", "raw")),
-        "ml_clusters": lambda: clusters.log_clusters(entries, "line_number", "raw"),
+        "ml_anomalies": lambda: hybrid.log_anomalies(risks()),
+        "ml_classes": lambda: bayes.class_distribution(risks().select("label", "confidence")),
+        "ml_clusters": lambda: clusters.log_clusters(groups(), spark),
         "ml_entropy": lambda: hybrid.entropy_flags(text(), "line_number", "text"),
-        "ml_metrics": lambda: hybrid.metrics(bayes.cross_validated(labelled), hybrid.log_risk(entries, model()), clusters.log_silhouette(entries, "line_number", "raw")),
+        "ml_metrics": lambda: hybrid.metrics(bayes.cross_validated(labelled), risks(), clusters.silhouette(groups(), spark)),
     }
     return Analysis("log", {n: (lambda n=n: getattr(case, n)) for n in LOG_FRAMES} | learned)
 
@@ -77,8 +89,16 @@ def analyze_mft(records: DataFrame) -> Analysis:
         none = case.iocs.select(F.lit("filepath").alias("type"), "value", "count", *[F.lit(0).alias(c) for c in ("first_line", "first_pattern", "first_at")])
         return reason.intrusion_summary(case.steps, dated, none)
 
-    def silhouette() -> DataFrame:
-        return clusters.mft_silhouette(records)
+    spark = records.sparkSession
+
+    @cache
+    def risks() -> DataFrame:
+        return cut(hybrid.mft_risk(records), "risks")
+
+    @cache
+    def groups() -> clusters.Clusters | None:
+        rows = cut(features.mft_features(records).select("record_number", "file_name", "ext", *features.MFT_NAMES), "features")
+        return clusters.of_records(rows, "record_number", hybrid.mft_seed(rows))
 
     return Analysis(
         "mft",
@@ -86,9 +106,9 @@ def analyze_mft(records: DataFrame) -> Analysis:
         | {
             "intrusion": intrusion,
             "attribution": lambda: threats.attribution(case.techniques, tools()),
-            "ml_anomalies": lambda: hybrid.mft_anomalies(records),
-            "ml_clusters": lambda: clusters.mft_clusters(records),
-            "ml_metrics": lambda: hybrid.metrics(None, hybrid.mft_risk(records), silhouette()),
+            "ml_anomalies": lambda: hybrid.mft_anomalies(risks()),
+            "ml_clusters": lambda: clusters.mft_clusters(groups(), spark),
+            "ml_metrics": lambda: hybrid.metrics(None, risks(), clusters.silhouette(groups(), spark)),
         },
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracelake.functions.time import said, said_sql
 from tracelake.operators import clusters, features, hybrid, mft
 from tracelake.sources import testbed
+from tracelake.store import cut
 
 RECORDS = mft.records_sql(testbed.mft_table("duckdb"), testbed.MFT_HEADER)
 FINDINGS = mft.findings_sql(RECORDS)
@@ -98,11 +99,13 @@ def noisy_or_mft(spark, sf):
 
 
 def mft_ml_anomalies(spark, sf):
-    return hybrid.mft_anomalies(records(spark, sf))
+    return hybrid.mft_anomalies(hybrid.mft_risk(records(spark, sf)))
 
 
 def mft_clusters(spark, sf):
-    return clusters.mft_clusters(records(spark, sf))
+    rows = cut(features.mft_features(records(spark, sf)).select("record_number", "file_name", "ext", *features.MFT_NAMES), "features")
+    found = clusters.mft_clusters(clusters.of_records(rows, "record_number", hybrid.mft_seed(rows)), spark)
+    return found.withColumn("ratio", F.round("ratio", 6))
 
 
 _KEPT = " * ".join(f"(1 - least(1::DOUBLE, ({x})::DOUBLE * {w}))" for x, w in WEIGHTS)
@@ -120,5 +123,7 @@ ORACLE_SQL = {
     "mft_features": f"SELECT record_number, path, {', '.join(f'round({n}, 6) AS {n}' for n in features.MFT_NAMES)} FROM ({FEATURES})",
     "mft_feature_stats": f"SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM ({features.feature_stats_sql(FEATURES, features.MFT_NAMES)})",
     "mft_zscore_reasons": f"SELECT record_number, path, reasons FROM ({features.odd_features_sql(FEATURES, features.MFT_NAMES, features.MFT_ODD)})",
+    "mft_ml_anomalies": hybrid.mft_anomalies_sql(RECORDS),
+    "mft_clusters": f"SELECT * REPLACE (round(ratio, 6) AS ratio) FROM ({clusters.mft_clusters_sql(FEATURES, 'record_number', hybrid.mft_seed_sql(RECORDS))})",
     "noisy_or_mft": f"SELECT record_number, path, round(1 - {_KEPT}, 6) AS risk FROM ({FEATURES})",
 }

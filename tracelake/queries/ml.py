@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from tracelake.functions import format as formats
 from tracelake.functions import text
-from tracelake.operators import bayes, clusters, features, forest, hybrid, terms
+from tracelake.operators import bayes, clusters, features, forest, hybrid, strides, terms
 from tracelake.queries import logs
 from tracelake.sources import testbed
+from tracelake.store import cut
 
 CORPUS = testbed.labelled_lines()
+LABELLED = testbed.labelled_log("duckdb")
 FEATURES = features.log_features_sql(logs.ENTRIES)
 DOCS = "SELECT doc_id, coalesce(text, '') AS text FROM documents"
 PREDICTED = bayes.predict_sql(CORPUS, f"SELECT line_number, raw FROM ({logs.ENTRIES})", "line_number", "raw")
@@ -86,14 +88,11 @@ def zscore_reasons(spark, sf):
 
 
 def stride_sample(spark, sf):
-    return hybrid.stride_sample(logs.entries(spark, sf).select("line_number"), "line_number").select("line_number", "place")
-
-
-_STRIDE = f"SELECT line_number, rn AS place FROM (SELECT line_number, row_number() OVER (ORDER BY line_number) - 1 AS rn, count(*) OVER () AS n FROM ({logs.ENTRIES})) WHERE n <= {hybrid.SAMPLE} OR rn IN (SELECT floor(i * (SELECT count(*) FROM ({logs.ENTRIES})) / {hybrid.SAMPLE}::DOUBLE)::BIGINT FROM range({hybrid.SAMPLE}) AS r(i))"
+    return strides.stride_sample(cut(logs.entries(spark, sf).select("line_number"), "lines"), "line_number", forest.SAMPLE).select("line_number", "place")
 
 
 def nb_train_counts(spark, sf):
-    return bayes.token_counts(testbed.labelled(spark, sf))
+    return bayes.token_counts(testbed.labelled_events(spark, sf))
 
 
 def nb_predict(spark, sf):
@@ -101,11 +100,11 @@ def nb_predict(spark, sf):
 
 
 def nb_crossval(spark, sf):
-    return bayes.cross_validated(testbed.labelled(spark, sf))
+    return bayes.cross_validated(testbed.labelled_events(spark, sf))
 
 
 def nb_accuracy(spark, sf):
-    found = bayes.cross_validated(testbed.labelled(spark, sf))
+    found = bayes.cross_validated(testbed.labelled_events(spark, sf))
     return found.groupBy("label").agg(F.count("*").alias("n"), F.round(F.avg((F.col("label") == F.col("predicted")).cast("int")), 6).alias("accuracy"))
 
 
@@ -124,26 +123,39 @@ def tfidf_weights(spark, sf):
     return terms.weights(rows, terms.vocabulary(rows, docs.count()), "doc_id").select("doc_id", "token", F.round("weight", 6).alias("weight"))
 
 
+def _lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Entries, written: what learns from them reads them several times."""
+    return cut(logs.entries(spark, sf), "entries")
+
+
 def iforest_scores(spark, sf):
-    return forest.scored(_features(spark, sf), features.LOG_NAMES, "line_number").select("line_number", "score")
+    rows = cut(_features(spark, sf).select("line_number", "raw", *features.LOG_NAMES), "features")
+    found = forest.scored(rows, features.LOG_NAMES, "line_number", hybrid.log_seed(rows))
+    return found.select("line_number", F.round("score", 6).alias("score"))
+
+
+def _clusters(rows: DataFrame) -> clusters.Clusters | None:
+    return clusters.of_logs(rows, "line_number", "raw", hybrid.log_seed(rows))
 
 
 def kmeans_clusters(spark, sf):
-    return clusters.log_clusters(logs.entries(spark, sf), "line_number", "raw")
+    found = clusters.log_clusters(_clusters(_lines(spark, sf)), spark)
+    return found.withColumn("ratio", F.round("ratio", 6))
 
 
 def kmeans_silhouette(spark, sf):
-    return clusters.log_silhouette(logs.entries(spark, sf), "line_number", "raw")
+    return clusters.silhouette(_clusters(_lines(spark, sf)), spark).select(F.round("silhouette", 6).alias("silhouette"))
 
 
 def ml_metrics(spark, sf):
-    labelled = testbed.labelled(spark, sf)
-    rows = logs.entries(spark, sf)
-    return hybrid.metrics(bayes.cross_validated(labelled), hybrid.log_risk(rows, bayes.fit(labelled)), clusters.log_silhouette(rows, "line_number", "raw"))
+    rows = _lines(spark, sf)
+    crossed = bayes.cross_validated(testbed.labelled_events(spark, sf))
+    found = hybrid.metrics(crossed, hybrid.log_risk(rows, bayes.fit(testbed.labelled(spark, sf))), clusters.silhouette(_clusters(rows), spark))
+    return found.withColumn("silhouette", F.round("silhouette", 6))
 
 
 def ml_anomalies(spark, sf):
-    return hybrid.log_anomalies(logs.entries(spark, sf), bayes.fit(testbed.labelled(spark, sf)))
+    return hybrid.log_anomalies(hybrid.log_risk(_lines(spark, sf), bayes.fit(testbed.labelled(spark, sf))))
 
 
 def entropy_flags(spark, sf):
@@ -155,7 +167,9 @@ QUERIES = {
     for f in (shannon_entropy, char_stats, tokenize, token_labels, format_values, high_entropy_tokens, log_features, feature_stats, zscore_reasons, stride_sample, nb_train_counts, nb_predict, nb_crossval, nb_accuracy, class_distribution, tfidf_vocab, tfidf_weights, iforest_scores, kmeans_clusters, kmeans_silhouette, ml_anomalies, ml_metrics, entropy_flags)
 }
 _STATS = text.char_stats_sql("text")
-_CROSS = bayes.cross_validated_sql(CORPUS)
+_SEED = hybrid.log_seed_sql(logs.ENTRIES)
+_SILHOUETTE = clusters.log_silhouette_sql(logs.ENTRIES, "line_number", "raw", _SEED)
+_CROSS = bayes.cross_validated_sql(LABELLED)
 ORACLE_SQL = {
     "shannon_entropy": f"SELECT doc_id, round({text.shannon_entropy_sql('text')}, 6) AS entropy FROM ({DOCS})",
     "char_stats": f"SELECT doc_id, {', '.join(f'{v} AS {n}' if n == 'len' else f'round({v}, 6) AS {n}' for n, v in _STATS.items())} FROM ({DOCS})",
@@ -164,12 +178,17 @@ ORACLE_SQL = {
     "log_features": f"SELECT line_number, {', '.join(f'round({n}, 6) AS {n}' for n in features.LOG_NAMES)} FROM ({FEATURES})",
     "feature_stats": f"SELECT feature, round(mean, 6) AS mean, round(std, 6) AS std FROM ({features.feature_stats_sql(FEATURES, features.LOG_NAMES)})",
     "zscore_reasons": f"SELECT line_number, reasons FROM ({features.odd_features_sql(FEATURES, features.LOG_NAMES, features.LOG_ODD)})",
-    "stride_sample": _STRIDE,
-    "nb_train_counts": bayes.counts_sql(CORPUS),
+    "stride_sample": f"SELECT line_number, place FROM {strides.stride_sample_sql(f'SELECT line_number FROM ({logs.ENTRIES})', 'line_number', forest.SAMPLE)}",
+    "nb_train_counts": bayes.counts_sql(LABELLED),
     "nb_predict": f"SELECT line_number, label, round(confidence, 4) AS confidence FROM ({PREDICTED})",
     "nb_crossval": _CROSS,
     "nb_accuracy": f"SELECT label, count(*)::BIGINT AS n, round(avg((label = predicted)::INT), 6) AS accuracy FROM ({_CROSS}) GROUP BY 1",
     "class_distribution": f"SELECT label, count, round(count / sum(count) OVER (), 6) AS ratio FROM (SELECT CASE WHEN confidence < {bayes.SURE} THEN 'benign' ELSE label END AS label, count(*)::BIGINT AS count FROM ({PREDICTED}) GROUP BY 1)",
+    "iforest_scores": f"SELECT line_number, round(score, 6) AS score FROM ({forest.scored_sql(FEATURES, features.LOG_NAMES, strides.stride_sample_sql(FEATURES, 'line_number', forest.SAMPLE), _SEED)})",
+    "kmeans_clusters": f"SELECT * REPLACE (round(ratio, 6) AS ratio) FROM ({clusters.log_clusters_sql(logs.ENTRIES, 'line_number', 'raw', _SEED)})",
+    "kmeans_silhouette": f"SELECT round(silhouette, 6) AS silhouette FROM ({_SILHOUETTE})",
+    "ml_anomalies": hybrid.log_anomalies_sql(logs.ENTRIES, PREDICTED),
+    "ml_metrics": f"SELECT * REPLACE (round(silhouette, 6) AS silhouette) FROM ({hybrid.metrics_sql(hybrid.log_risk_sql(logs.ENTRIES, PREDICTED), _SILHOUETTE, _CROSS)})",
     "entropy_flags": hybrid.entropy_flags_sql(KEYED, "doc_id", "text"),
     "token_labels": f"SELECT {text.labelled_sql('token')} AS sign, count(*)::BIGINT AS n FROM (SELECT unnest(tokens) AS token FROM ({text.tokens_sql(f'SELECT line_number, raw FROM ({logs.ENTRIES})', 'raw')})) WHERE starts_with(token, '§') GROUP BY 1",
     "format_values": f"SELECT o_orderkey, {formats.bytes_said_sql('n')} AS bytes, {formats.number_said_sql('n')} AS number, {formats.percent_said_sql('share')} AS percent, {formats.percent_said_sql('share', 1)} AS percent_1, {formats.time_said_sql('moment')} AS time FROM ({_ORDERS})",

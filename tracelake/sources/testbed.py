@@ -76,6 +76,19 @@ def csv_log(engine: str) -> str:
     )
 
 
+#: What kind of attack each of `_PAYLOADS` is, in their order.
+_KINDS = (
+    "recon", "recon", "recon", "bruteforce", "sqli", "sqli", "sqli", "xss", "xss", "traversal", "traversal", "log4shell", "rce", "rce", "bruteforce", "creddump", "rce", "webshell", "persistence", "privesc",
+    "evasion", "lateral", "c2", "exfil", "ransomware", "rce", "rce", "log4shell",
+)
+
+
+def labelled_log(engine: str) -> str:
+    """SQL of (doc, text, label): the lines of the access log, each with the kind of what it asks for."""
+    case = _spark_case if engine == "spark" else _case
+    return f"SELECT line_number AS doc, line AS text, {case('(line_number - 1) % 211', _KINDS, quoted('benign'))} AS label FROM ({access_log(engine)})"
+
+
 CSV_HEADER = "Timestamp,Source_IP,User,Event,Status"
 
 #: Paths of records, by part number: one for each rule and each exclusion at least.
@@ -134,6 +147,7 @@ def view(sql, table: str, spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 access_lines = partial(view, access_log, "events")
+labelled_events = partial(view, labelled_log, "events")
 generic_lines = partial(view, generic_log, "events")
 csv_lines = partial(view, csv_log, "events")
 mft_rows = partial(view, mft_table, "part")
