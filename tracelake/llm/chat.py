@@ -14,7 +14,8 @@ byte ranges of assistant contents.
 
 Defined cases: a null text or role counts as empty; a null conversation is one of its own; turns go
 by (turn, role, text), nulls first; repeated rows are turns each; a conversation without assistant
-turns has an empty mask; texts of any length are one turn.
+turns has an empty mask; texts of any length are one turn, never cut; columns other than the four named
+are not read, whatever their names; an empty table gives no chunks.
 """
 
 from __future__ import annotations

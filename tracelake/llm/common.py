@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tracelake.store import cut, cut_at, drop, parallelism, scratch, shared_folder
 
-__all__ = ["cut", "cut_at", "drop", "parallelism", "scratch", "shared_folder", "table"]
+__all__ = ["cut", "cut_at", "drop", "parallelism", "packed", "scratch", "shared_folder", "table", "unpacked"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table by name."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def packed(columns: list[str]) -> Column:
+    """Columns of a caller as one struct, by place: whatever their names, an operator's own columns don't clash with them."""
+    return F.struct(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(columns)]) if columns else F.lit(None).cast("int")
+
+
+def unpacked(struct: str, columns: list[str]) -> list[Column]:
+    """The columns that `packed` has put into a struct, under their names."""
+    return [F.col(struct)[f"c{k}"].alias(c) for k, c in enumerate(columns)]

@@ -11,6 +11,8 @@ one can be added to or taken from a fingerprint without the rest. A vector has t
 
 Defined cases: a null text counts as empty, which is one empty paragraph; equal fingerprints are 1
 alike, and texts without a common pair near 0; repeated rows get the same fingerprint.
+Texts of any length are read whole; rows of one id, and those without an id, go by text; columns other than
+the two named are not read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -19,6 +19,7 @@ as the model holds a matrix row for each.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import cut
+from tracelake.llm.common import cut, packed, unpacked
 from tracelake.session import ship
 
 WIDTH = 4096
@@ -155,17 +156,17 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     order = F.pmod(F.col("mark"), F.lit(1 << 30)), F.col("mark")
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(*order))
     sample = found.where("lang is not null").dropDuplicates(["lang", "mark"]).withColumn("nth__", nth).where(F.col("nth__") <= PER_LANGUAGE)
-    taken: dict[str, list] = {}
-    for r in sample.orderBy("lang", "nth__").collect():  # PER_LANGUAGE rows a language
-        c = np.zeros(WIDTH, np.float32)
-        c[r["at"]] = r["n"]
-        taken.setdefault(r["lang"], []).append(c)
+    # The rows of one language at a time: PER_LANGUAGE sparse rows come in, and are let go once they are clustered.
+    model.langs = sorted(different)
+    places = {name: k for k, name in enumerate(model.langs)}
     parts, owner, least = [], [], []
-    for k, name in enumerate(sorted(different)):
-        model.langs.append(name)
-        if name not in taken:
-            continue
-        v = model.weighted(taken[name])
+    for name, rows_ in groupby(cut(sample.orderBy("lang", "nth__"), "sample").toLocalIterator(), key=lambda r: r["lang"]):
+        k, taken = places[name], []
+        for r in rows_:
+            c = np.zeros(WIDTH, np.float32)
+            c[r["at"]] = r["n"]
+            taken.append(c)
+        v = model.weighted(taken)
         c, to = clustered(v, CENTROIDS)
         like = (v * c[to]).sum(axis=1)
         low = np.percentile(like, PERCENTILE)
@@ -188,16 +189,17 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     held = spark.sparkContext.broadcast(model)  # languages x centroids x WIDTH floats
     made = {"lang_pred": T.StringType(), "score": T.DoubleType(), "rejected": T.BooleanType()}
     kept = [c for c in docs.columns if c.lower() not in made]
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text__"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), packed(kept).alias("own"))
 
     def predict(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, ROWS):
                 part = batch.slice(k, ROWS)
                 lang, score, rejected = held.value.predict(part.column(0).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], [*batch.schema.names[1:], *made])
+                yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["own", *made])
 
-    return rows.mapInArrow(predict, T.StructType([*rows.schema.fields[1:], *[T.StructField(c, t) for c, t in made.items()]]))
+    found = rows.mapInArrow(predict, T.StructType([rows.schema["own"], *[T.StructField(c, t) for c, t in made.items()]]))
+    return found.select(*unpacked("own", kept), *made)
 
 
 def fold(key: Column) -> Column:

@@ -15,7 +15,7 @@ The mix is as long as it takes every row to appear: sources that would run out e
 Defined cases: a null source is a source of its own; repeated rows, null ids and null texts are
 rows like any other; an empty table gives an empty mix; one source alone has weight 1; weights
 that name sources without rows are ignored, and sources without a weight raise. Input columns with
-the names of output columns are replaced.
+the names of output columns are replaced; others are carried along, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelake.llm.common import cut, parallelism
+from tracelake.llm.common import cut, packed, parallelism, unpacked
 from tracelake.session import ship
 
 #: Parts that weights are rounded to by `parts` if no other number is given.
@@ -133,8 +133,8 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     ship(spark)
     name = F.when(F.col(f"`{source}`").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")))
     kept = [c for c in docs.columns if c.lower() not in OUT]
-    held = cut(docs.select(*[f"`{c}`" for c in kept], name.alias("name__"), F.monotonically_increasing_id().alias("row__")), "mix")
-    rows = held.select("name__", F.col(f"`{id}`").alias("id__"), "row__")
+    held = cut(docs.select(packed(kept).alias("own"), name.alias("name__"), F.col(f"`{id}`").alias("id__"), F.monotonically_increasing_id().alias("row__")), "mix")
+    rows = held.select("name__", "id__", "row__")
     order = ["name__", F.xxhash64("id__"), "id__", "row__"]
     numbered = rows.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).select("name__", "row__", F.monotonically_increasing_id().alias("place__"))
     numbered = cut(numbered.withColumn("part__", F.shiftright("place__", 33)), "mix-order")
@@ -164,7 +164,7 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     placed = placed.withColumn("g__", F.col("epoch") * F.col("size__") + F.col("place__") + F.col("shift__"))
     placed = placed.withColumn("block", F.expr(f"g__ div {block}")).join(plan, ["source__", "block"])
     placed = placed.select("row__", "epoch", "block", "slot", (F.col("slot") * block + F.col("g__") % block).alias("position"))
-    out = held.join(placed, "row__").select(*[f"`{c}`" for c in kept], "epoch", "block", "slot", "position")
+    out = held.select("own", "row__").join(placed, "row__").select(*unpacked("own", kept), "epoch", "block", "slot", "position")
     if not ordered:
         return out
     runs = parallelism(spark)

@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracelake.llm.common import packed, unpacked
 from tracelake.session import ship
 
 SPACE = "▁"
@@ -436,6 +437,9 @@ def _groups(texts: pa.Array):
         at = end
 
 
+NEW = ("ids", "decoded")
+
+
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out: str = "ids", keep: list[str] | None = None, decoded: str | None = None) -> DataFrame:
     """The columns `keep` of `docs` (all of them, if it is None) and the ids of column `text` in column `out`.
 
@@ -445,7 +449,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out:
     ship(docs.sparkSession)
     made = [out] if decoded is None else [out, decoded]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in made]
-    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text__"), *[F.col(f"`{c}`") for c in kept])
+    rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), packed(kept).alias("own"))
     held = _sent(model_path)
 
     def encode(batches):
@@ -459,11 +463,11 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out:
                 columns = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))]
                 if decoded is not None:
                     columns.append(pa.array([own.decode(ids[a:b].tolist()) for a, b in zip(ends, ends[1:])], pa.string()))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], *columns], [*batch.schema.names[1:], *made])
+                yield pa.RecordBatch.from_arrays([part.column(1), *columns], ["own", *NEW[: len(columns)]])
 
     kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
-    schema = T.StructType([*rows.schema.fields[1:], *[T.StructField(c, t) for c, t in zip(made, kinds)]])
-    return rows.mapInArrow(encode, schema)
+    schema = T.StructType([rows.schema["own"], *[T.StructField(c, t) for c, t in zip(NEW, kinds[: len(made)])]])
+    return rows.mapInArrow(encode, schema).select(*unpacked("own", kept), *[F.col(n).alias(c) for n, c in zip(NEW, made)])
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:

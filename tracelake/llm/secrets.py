@@ -25,6 +25,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracelake.llm.common import packed, unpacked
+
 # The patterns of the three kinds, the group that is measured, and its least length.
 ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {"assign": (ASSIGN, 2, 6), "access": ("AKIA[A-Z0-9]+", 0, 20), "hex": ("[0-9a-f]+", 0, 24)}
@@ -168,7 +170,7 @@ def high_entropy(text: Column) -> Column:
 def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
     """`docs` with all spans of a text, sorted by start, then kind, then end."""
     whole = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
-    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() != out.lower()]
+    kept = [c for c in docs.columns if c.lower() != out.lower()]
     none = F.array().cast(f"array<{FOUND}>")
     kinds = [F.when(whole.rlike(HINTS[k]), _found(whole, k, no, p, g, n)).otherwise(none) for no, (k, (p, g, n)) in enumerate(KINDS.items())]
     last = len(kinds)
@@ -183,9 +185,9 @@ def scan(docs: DataFrame, text: str = "text", out: str = "spans") -> DataFrame:
         found = F.filter(_scanned(all_, FOUND, apart), lambda x: (x["kind_no"] < last) | high_entropy(x["run"]))
         return F.transform(found, lambda x: F.struct(*[x[c].alias(c) for c in ("start", "kind_no", "end", "kind")]).cast(SPAN))
 
-    step = docs.select(*kept, F.array_sort(F.concat(*kinds, runs)).alias("found__"))
-    spans = F.when(F.size("found__") > 0, judged(F.col("found__"))).otherwise(F.array().cast(f"array<{SPAN}>"))
-    return step.select(*kept, spans.alias(out))
+    step = docs.select(packed(kept).alias("own"), F.array_sort(F.concat(*kinds, runs)).alias("found"))
+    spans = F.when(F.size("found") > 0, judged(F.col("found"))).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return step.select(*unpacked("own", kept), spans.alias(out))
 
 
 def said(spans: Column) -> Column:
@@ -216,7 +218,6 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with the secrets of a text replaced; texts without any stay as they are."""
     columns = docs.columns
-    scanned = scan(docs, text, "spans__")
-    whole = F.col(f"`{text}`")
-    clean = F.when(F.size("spans__") > 0, redacted(whole, F.col("spans__"))).otherwise(whole)
-    return scanned.select(*[clean.alias(c) if c == text else F.col(f"`{c}`") for c in columns])
+    scanned = scan(docs.select(packed(columns).alias("own"), F.col(f"`{text}`").alias("text")), "text", "spans")
+    clean = F.when(F.size("spans") > 0, redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    return scanned.select(*[clean.alias(c) if c == text else x for c, x in zip(columns, unpacked("own", columns))])

@@ -11,6 +11,9 @@ by id; a row's rank is its place in its partition plus the sizes of those before
 Defined cases: a null text counts no bytes and has crc32 0; null dimensions are cell 0; repeated
 rows take a slot each; ties go by id, nulls first; an empty table gives no rows. With fewer rows
 than shards some shards are empty.
+Texts of any length are read whole; columns other than the four named are not read, whatever their names.
+Equal texts share a Hilbert cell if source and language agree as well, and then their ranks follow each
+other; law `rows` cuts shards by rank alone, so a group of equal texts may lie in several shards.
 """
 
 from __future__ import annotations

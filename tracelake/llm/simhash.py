@@ -13,7 +13,8 @@ spanning forest of their links, never all pairs.
 
 Defined cases: a null text counts as empty; texts without words get fingerprint zero, linked like
 any other; repeated rows and copies share a component; a null doc_id takes part, and a component
-without any doc_id has a null id. Input columns other than the two named are not read.
+without any doc_id has a null id; texts of any length are read whole; columns other than the two named are
+not read, whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations

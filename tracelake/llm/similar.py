@@ -132,18 +132,18 @@ def _open(buckets: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _prefixes(grams: DataFrame) -> DataFrame:
-    """(bucket, key, n): every set under the rarest of its shingles, as many as two alike sets can't both do without.
+    """(bucket, key, n, at): every set under the rarest of its shingles, as many as two alike sets can't both do without.
 
     Of a set of n shingles less than n / 5 + 1 can be missing in a set alike to it, so two alike sets
     share one of these, whatever the order, as long as it is the same for all; that by rarity among the
-    sets at hand makes buckets small.
+    sets at hand makes buckets small. `at` is the shingle's place in that order.
     """
     up, down = ALIKE
     rows = grams.select("key", F.size("grams").alias("n"), F.explode("grams").alias("gram"))
     often = rows.groupBy("gram").agg(F.count("*").alias("often"))
     ranked = rows.join(often, "gram").groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("often", "gram"))).alias("grams"))
     kept = F.slice("grams", 1, F.expr(f"n - cast(ceil(n * {up} / {down}) as int) + 1"))
-    return ranked.select("key", "n", F.explode(kept).alias("g")).where("g.often > 1").select(F.col("g.gram").alias("bucket"), "key", "n")
+    return ranked.select("key", "n", F.posexplode(kept).alias("at", "g")).where("g.often > 1").select(F.col("g.gram").alias("bucket"), "key", "n", "at")
 
 
 def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame, DataFrame]:
@@ -167,9 +167,11 @@ def _grouped(docs: DataFrame, id: str, text: str, width: int) -> tuple[DataFrame
     again = _hub_pairs(_open(few, links).select("bucket", "key"))
     links = links.unionAll(_confirmed(cut(again.join(tried, ["a", "b"], "left_anti"), "pairs"), grams))
     left = _open(few, links)
-    other = left.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"))
+    other = left.select("bucket", F.col("key").alias("b"), F.col("root").alias("other"), F.col("n").alias("m"), F.col("at").alias("place"))
     up, down = ALIKE
-    more = left.withColumnRenamed("key", "a").join(other, "bucket").where(f"a < b and root <> other and n * {down} >= m * {up} and m * {down} >= n * {up}")
+    # Two sets share no more than what comes before and after a shingle that they share, in the one order of all.
+    most = "least(at, place) + 1 + least(n - at, m - place) - 1"
+    more = left.withColumnRenamed("key", "a").join(other, "bucket").where(f"a < b and root <> other and n * {down} >= m * {up} and m * {down} >= n * {up} and ({most}) * {up + down} >= (n + m) * {up}")
     more = more.select("a", "b").distinct().join(tried.unionAll(again), ["a", "b"], "left_anti")
     joined = components(links.unionAll(_confirmed(cut(more, "pairs"), grams)))
     return rows.select("id", "key"), sets.join(joined, sets["key"] == joined["node"], "left").select("key", "least", F.coalesce("root", "key").alias("root"))
