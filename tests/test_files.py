@@ -96,3 +96,57 @@ def test_stream_equals_batch(spark, tmp_path):
     q.stop()
     assert sorted(map(tuple, spark.table("alerts").collect())) == sorted(map(tuple, behaviour.alerts(behaviour.windowed_counts(df)).collect()))
     assert {r["category"] for r in spark.table("alerts").collect()} == {"behavior-auth", "behavior-enum"}
+
+
+@pytest.mark.parametrize(("encoding", "mark"), [("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff")])
+def test_wide_files_are_cut_into_blocks(spark, tmp_path, encoding, mark):
+    """Lines keep their numbers over blocks, also where bytes of two characters look like a line end."""
+    like_an_end = "\u0a05\u4e00" if encoding == "utf-16-le" else "\u4e00\u0a05"  # 05 0A 00 4E, and 4E 00 0A 05
+    lines = [f"line {k} é 로그" + (like_an_end * (k % 3)) * (k % 50 == 7) + ("\r" if k % 4 == 0 else "") for k in range(9000)] + ["", "end " + like_an_end]
+    (tmp_path / "w.log").write_bytes(mark + "\n".join(lines).encode(encoding))
+    (tmp_path / "u.log").write_text("one\ntwo\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20001")  # blocks start between the bytes of a character as well
+    try:
+        df = ingest.read_wide(spark, str(tmp_path / "w.log"), encoding)
+        assert spark.read.option("encoding", "UTF-16LE").option("lineSep", "\n").text(str(tmp_path / "w.log")).rdd.getNumPartitions() > 5
+        got = [(r["line_number"], r["line"]) for r in df.orderBy("line_number").collect()]
+        all_ = ingest.read_text(spark, str(tmp_path)).count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == [(k + 1, line.removesuffix("\r")) for k, line in enumerate(lines)] and all_ == len(lines) + 2
+
+
+def test_workbooks_are_read_as_a_stream():
+    """Memory doesn't grow with the rows of a sheet."""
+    import tracemalloc
+
+    def peak(n):
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z, z.open("xl/worksheets/sheet1.xml", "w") as f:
+            f.write(b'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>')
+            for k in range(n):
+                f.write(f'<row r="{k + 1}"><c r="A{k + 1}"><v>{k}</v></c><c r="C{k + 1}" t="inlineStr"><is><r><t>a &amp; </t></r><r><t>b</t></r></is></c></row>'.encode())
+            f.write(b"</sheetData></worksheet>")
+        content = out.getvalue()
+        tracemalloc.start()
+        rows = 0
+        for rows, cells in enumerate(ingest.sheet_rows(content), 1):
+            assert cells == [str(rows - 1), "", "a & b"]
+        used = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert rows == n
+        return used - len(content)
+
+    assert peak(40_000) < peak(2_000) + (1 << 20)
+
+
+def test_first_sheet_by_number_and_odd_cells():
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet10.xml", "<worksheet><sheetData><row><c><v>ten</v></c></row></sheetData></worksheet>")
+        z.writestr("xl/worksheets/sheet2.xml", '<worksheet><sheetData><row><c r="B1" t="s"><v>1</v></c><c t="s"><v>9</v></c><c/></row><row/></sheetData></worksheet>')
+        z.writestr("xl/sharedStrings.xml", "<sst><si><t>zero</t></si><si><r><t>on</t></r><r><t>e</t></r></si></sst>")
+    assert list(ingest.sheet_rows(out.getvalue())) == [["", "one", "", ""], []]
+    with pytest.raises(ValueError):
+        list(ingest.sheet_rows(b"\xd0\xcf old"))

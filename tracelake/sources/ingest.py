@@ -1,17 +1,20 @@
 """Files to lines or rows of cells.
 
 Text is read by Spark's text source and numbered within each file without gathering it. Lines of files
-that are no UTF-8 are decoded in tasks, by the encoding that fits their file best. Files in UTF-16 and
-spreadsheets are read whole, one file a row.
+that are no UTF-8 are decoded in tasks, by the encoding that fits their file best. Files in UTF-16 are cut
+into blocks as others are, at line ends of two bytes. A spreadsheet is a task's work; its rows are handed
+on as they are parsed.
 """
 
 from __future__ import annotations
 
-import html
 import io
 import re
 import zipfile
+from array import array
+from collections.abc import Iterator
 from functools import reduce
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -84,12 +87,13 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     """
     rows = _numbered(spark, path)
     start = F.hex(F.substring(F.col("value").cast("binary"), 1, 2))
-    wide = F.coalesce(F.max((F.col("line_number") == 1) & start.isin("FFFE", "FEFF")), F.lit(False))
-    odd = rows.groupBy("file").agg((~F.bool_and(F.is_valid_utf8("value"))).alias("bad"), wide.alias("wide")).where("bad or wide").collect()  # a row for each such file
+    wide = F.max(F.when((F.col("line_number") == 1) & start.isin(*WIDE), start))
+    odd = rows.groupBy("file").agg((~F.bool_and(F.is_valid_utf8("value"))).alias("bad"), wide.alias("wide")).where("bad or wide is not null").collect()  # a row for each such file
     plain = rows.join(F.broadcast(spark.createDataFrame([(r["file"],) for r in odd], "file string")), "file", "left_anti") if odd else rows
     parts = [plain.select("file", "line_number", _bare(F.col("value")).alias("line"))]
-    if names := [r["file"] for r in odd if r["wide"]]:
-        parts.append(reduce(DataFrame.unionByName, [read_any(spark, n) for n in names]))
+    for mark, encoding in WIDE.items():
+        if names := [r["file"] for r in odd if r["wide"] == mark]:
+            parts.append(read_wide(spark, names, encoding))
     if names := [r["file"] for r in odd if not r["wide"]]:
         tried = _numbered(spark, names).select("file", "line_number", _tried(F.col("value")).alias("tried"))
         bad = [F.sum(F.col("tried")[k]["bad"]) for k in range(1 + len(FALLBACKS))]
@@ -101,6 +105,44 @@ def read_text(spark: SparkSession, path: str) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: The encodings of two bytes, by the mark at a file's start.
+WIDE = {"FFFE": "utf-16-le", "FEFF": "utf-16-be"}
+
+
+def read_wide(spark: SparkSession, path: str | list[str], encoding: str) -> DataFrame:
+    """(file, line_number, line) of text files in an encoding of two bytes.
+
+    Blocks are cut where the two bytes of a line end stand, wherever that is: bytes of two neighbouring
+    characters may look the same, and then a piece of an odd number of bytes comes out. A piece goes on from
+    the one before it if the pieces of odd length before it, in its block and in those before, are odd in number.
+    """
+    ship(spark)
+    end = "\n".encode(encoding)
+    raw = spark.read.option("encoding", encoding.upper().replace("-LE", "LE").replace("-BE", "BE")).option("lineSep", "\n").text(path)
+    raw = raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"), F.monotonically_increasing_id().alias("at"))
+    within = Window.partitionBy("file", "block").orderBy("at")
+    odd = F.length("value") % 2
+    rows = raw.withColumn("flips", F.sum(odd).over(within) - odd)
+    blocks = rows.groupBy("file", "block").agg(F.sum(odd).alias("odd"), *[F.count_if(F.col("flips") % 2 == k).alias(f"n{k}") for k in (0, 1)])
+    w = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # a row for each block
+    blocks = blocks.withColumn("turned", F.coalesce(F.sum("odd").over(w), F.lit(0)) % 2)
+    blocks = blocks.withColumn("starts", F.when(F.col("turned") == 0, F.col("n0")).otherwise(F.col("n1")))
+    blocks = blocks.select("file", "block", "turned", F.coalesce(F.sum("starts").over(w), F.lit(0)).alias("before"))
+    placed = rows.join(blocks, ["file", "block"]).withColumn("goes_on", (F.col("flips") + F.col("turned")) % 2)
+    placed = placed.withColumn("line_number", F.col("before") + F.sum(1 - F.col("goes_on")).over(within))
+    broken = placed.where("goes_on = 1").select("file", "line_number").distinct()
+    whole = placed.join(broken, ["file", "line_number"], "left_anti").select("file", "line_number", "value")
+    pieces = placed.join(broken, ["file", "line_number"]).groupBy("file", "line_number").agg(F.array_sort(F.collect_list(F.struct("block", "at", "value"))).alias("pieces"))  # those of one line
+    mended = F.aggregate(F.slice("pieces", 2, 1 << 30), F.get("pieces", F.lit(0))["value"], lambda acc, x: F.concat(acc, F.lit(end), x["value"]))
+
+    @F.arrow_udf("string")
+    def decode(values: pa.Array) -> pa.Array:
+        return pa.array([x.as_py().decode(encoding, "replace") for x in values], pa.string())
+
+    both = whole.unionByName(pieces.select("file", "line_number", mended.alias("value")))
+    return both.select("file", "line_number", _bare(decode("value")).alias("line"))
+
+
 def decode_bytes(raw: bytes) -> str:
     """Text of bytes: by their mark, else UTF-8, else the fallback with fewer replacement characters."""
     for mark, name in ((b"\xef\xbb\xbf", "utf-8"), (b"\xff\xfe", "utf-16-le"), (b"\xfe\xff", "utf-16-be")):
@@ -156,40 +198,75 @@ def _column(ref: str) -> int:
     return n - 1
 
 
-def _strings(xml: str) -> list[str]:
-    return [html.unescape("".join(re.findall(r"<t\b[^>]*>(.*?)</t>", si, re.DOTALL))) for si in re.findall(r"<si\b[^>]*>(.*?)</si>", xml, re.DOTALL)]
+def _local(tag: str) -> str:
+    """A tag without its namespace."""
+    return tag.rpartition("}")[2]
+
+
+def _elements(stream, name: str) -> Iterator[ElementTree.Element]:
+    """Elements of a name as they are read; each is let go before the next one comes, and so is all beside them."""
+    open_: list[ElementTree.Element] = []
+    for event, element in ElementTree.iterparse(stream, events=("start", "end")):
+        if event == "start":
+            open_.append(element)
+            continue
+        open_.pop()
+        if _local(element.tag) == name:
+            yield element
+        if not any(_local(x.tag) == name for x in open_):
+            element.clear()
+            if open_:
+                open_[-1].remove(element)
+
+
+def _said(element: ElementTree.Element) -> str:
+    return "".join(t.text or "" for t in element.iter() if _local(t.tag) == "t")
+
+
+class Strings:
+    """The shared strings of a workbook, one after another in one buffer, found by their offsets."""
+
+    def __init__(self, stream=None):
+        self.held, self.ends = bytearray(), array("q", [0])
+        for element in _elements(stream, "si") if stream else ():
+            self.held += _said(element).encode("utf-8", "surrogatepass")
+            self.ends.append(len(self.held))
+
+    def __getitem__(self, k: int) -> str:
+        return self.held[self.ends[k] : self.ends[k + 1]].decode("utf-8", "surrogatepass") if 0 <= k < len(self.ends) - 1 else ""
 
 
-def sheet_rows(content: bytes, most: int | None = None):
+def sheet_rows(content: bytes, most: int | None = None) -> Iterator[list[str]]:
     """Rows of the first sheet of a workbook, one at a time; optionally only the first `most`.
 
-    A file that is no zipped workbook (a binary one of old, say) has none that can be read, and says so.
+    The sheet is unpacked and parsed as its rows are asked for, so a task holds the packed file, the
+    shared strings and one row. A file that is no zipped workbook (a binary one of old, say) has none
+    that can be read, and says so.
     """
     if not zipfile.is_zipfile(io.BytesIO(content)):
         raise ValueError("not an XML workbook: save it as .xlsx")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
-        shared = _strings(z.read("xl/sharedStrings.xml").decode()) if "xl/sharedStrings.xml" in names else []
-        sheets = sorted(n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n))
-        xml = z.read(sheets[0]).decode() if sheets else ""
-    for k, row in enumerate(re.finditer(r"<row\b[^>]*>(.*?)</row>", xml, re.DOTALL)):
-        if most is not None and k >= most:
-            return
-        cells: list[str] = []
-        for attrs, body in re.findall(r"<c\b([^>]*?)(?:/>|>(.*?)</c>)", row[1], re.DOTALL):
-            at = re.search(r'r="([A-Z]+)\d+"', attrs)
-            type_ = re.search(r't="([^"]+)"', attrs)
-            value = re.search(r"<v\b[^>]*>(.*?)</v>", body, re.DOTALL)
-            if type_ and type_[1] == "s":
-                text = shared[int(value[1])] if value and int(value[1]) < len(shared) else ""
-            elif type_ and type_[1] == "inlineStr":
-                text = html.unescape("".join(re.findall(r"<t\b[^>]*>(.*?)</t>", body, re.DOTALL)))
-            else:
-                text = html.unescape(value[1]) if value else ""
-            place = _column(at[1]) if at else len(cells)
-            cells += [""] * (place + 1 - len(cells))
-            cells[place] = text
-        yield cells
+        shared = Strings(z.open("xl/sharedStrings.xml")) if "xl/sharedStrings.xml" in names else Strings()
+        # By number, so that sheet2 comes before sheet10.
+        sheets = sorted((n for n in names if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.sub(r"\D", "", n)))
+        for k, row in enumerate(_elements(z.open(sheets[0]), "row") if sheets else ()):
+            if most is not None and k >= most:
+                return
+            cells: list[str] = []
+            for cell in row:
+                if _local(cell.tag) != "c":
+                    continue
+                at = re.match("[A-Za-z]+", cell.get("r", ""))
+                value = next((x.text or "" for x in cell if _local(x.tag) == "v"), "")
+                if cell.get("t") == "s":
+                    value = shared[int(value)] if value.strip().isdigit() else ""
+                elif cell.get("t") == "inlineStr":
+                    value = _said(cell)
+                place = _column(at[0]) if at else len(cells)
+                cells += [""] * (place + 1 - len(cells))
+                cells[place] = value
+            yield cells
 
 
 def _sheets(most: int | None):
