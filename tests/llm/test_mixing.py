@@ -29,3 +29,16 @@ def test_long_mixes_keep_the_given_weights(spark, monkeypatch, weights, sizes):
 def test_more_sources_than_parts(spark):
     docs = spark.range(5000).selectExpr("id AS doc_id", "concat('s', id) AS source")
     assert mixing.mix(docs, block=1).count() == 5000
+
+
+def test_the_walk_is_bounded(spark, monkeypatch):
+    """Blocks grow with the mix, so that the driver walks about as many slots for any number of rows, and weights hold to a block."""
+    monkeypatch.setattr(mixing, "SLOTS", 50)
+    walked = []
+    monkeypatch.setattr(mixing, "ranges", lambda *a, go=mixing.ranges: walked.append(sum(r[1] for r in go(*a))) or go(*a))
+    for n in (300, 3000):
+        rows = [(k, "ab"[k % 3 == 0]) for k in range(n)]
+        out = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), {"a": 0.5, "b": 0.5}).orderBy("position").collect()
+        assert Counter((r["doc_id"], r["source"]) for r in out if r["epoch"] == 0) == Counter(rows)
+        assert worst(out, {"a": 0.5, "b": 0.5}) <= -(-len(out) // 40)
+    assert max(walked) <= 60

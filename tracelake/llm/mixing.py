@@ -5,7 +5,8 @@ ceil((k + 1) / w). Serving the released block with the earliest deadline in ever
 source less than one block from its weight after every slot. Weights are taken exactly, so the
 schedule doesn't repeat: the driver walks through it once and keeps the blocks done before each
 range of RANGE slots, from which tasks work the ranges out again, and every block finds its slot by
-a join. Rows are numbered in a shuffled order within their sources by a range partitioning of their
+a join. So that this walk doesn't grow with the rows, blocks do: of BLOCK rows until the mix has about
+SLOTS slots, and of as many more beyond as keep it so, unless a block's rows are given. Rows are numbered in a shuffled order within their sources by a range partitioning of their
 ids, whose partitions split large sources, and the sizes of its pieces; a period can be given, and
 then weights are rounded to whole parts of it.
 
@@ -39,8 +40,8 @@ PERIOD = 4096
 RANGE = 1 << 15
 #: Epochs of a row that are written out together.
 ERA = 4096
-#: Rows of a block.
-BLOCK = 8
+#: Rows of a block, at least, and slots of a mix, about, from which blocks grow.
+BLOCK, SLOTS = 8, 1 << 21
 #: Default weights go by this power of the sources' sizes: below 1, small sources weigh more than their share.
 POWER = 0.7
 OUT = ("epoch", "block", "slot", "position")
@@ -124,7 +125,7 @@ def _slots(own: list[int], total: int):
     return run
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int = BLOCK, period: int | None = None, power: float = POWER, ordered: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int | None = None, period: int | None = None, power: float = POWER, ordered: bool = False) -> DataFrame:
     """`docs` with epoch, block (number within the source), slot and position in the mix; rows of further epochs repeat.
 
     If `ordered`, partition k holds the k-th run of positions, in order.
@@ -147,6 +148,9 @@ def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, sour
     parted = exact(shares) if period is None else parts(shares, period)
     names = sorted(sizes)
     own, total = [parted[n] for n in names], sum(parted.values())
+    if block is None:
+        longest = max((-(-sizes[n] * total // w) for n, w in zip(names, own)), default=0)  # rows of the mix
+        block = max(BLOCK, -(-longest // SLOTS))
     walked = ranges(own, total, [-(-sizes[n] // block) for n in names], RANGE)
     length = sum(n for _, n, _ in walked)
     starts = spark.createDataFrame(walked, "first long, n long, done array<long>").repartition(max(1, len(walked)))  # a row for each range
