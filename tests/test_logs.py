@@ -1,6 +1,7 @@
 import datetime as dt
 import re
 
+import duckdb
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -152,3 +153,18 @@ def test_empty_input(spark):
 
 def test_no_pattern_names_are_lost():
     assert re.fullmatch(iocs.PATTERNS[0][1].text, "1.2.3.4")
+
+
+def test_tools_named_over_line_ends(spark):
+    """As in one text of all rows, joined by line feeds; what a row names alone counts there once."""
+    from tracelake.operators import threats
+
+    said = ["ran Cobalt", "strike here", "brute", "force", "a fast", "REVERSE", "proxy x", "china chopper", "chopper", "fast reverse", "proxy", "x frp fast", "reverse proxy", "china", None, "chopper", "brute" + "z", "ratel", "x" * 90 + " brute", "ratel" + "y" * 90]
+    df = spark.createDataFrame(list(enumerate(said)), "n int, t string").repartition(5)
+    got = {r["tool"]: r["rows"] for r in threats.tools_named(df, "t", ["n"]).collect()}
+    assert got == {"cobaltstrike": 1, "frp": 3, "chinachopper": 1, "bruteratel": 1}
+    assert {r["tool"] for r in threats.tools_named(df, "t").collect()} == {"frp", "chinachopper"}
+    db = duckdb.connect()
+    db.execute("CREATE TABLE rows (n INT, t VARCHAR)")
+    db.executemany("INSERT INTO rows VALUES (?, ?)", list(enumerate(said)))
+    assert dict(db.execute(threats.tools_sql("SELECT * FROM rows", "t", "n")).fetchall()) == got

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracelake.operators.detect import haystack, truncate, truncate_sql
+from tracelake.operators.timeline import numbered
 from tracelake.rules import severity
-from tracelake.rules.actors import ACTORS, TOOLS
+from tracelake.rules.actors import ACTORS, PARTED, TOOLS
 from tracelake.rules.cves import CVES, UNKNOWN
 from tracelake.rules.signatures import SIGNATURES, TACTICS
-from tracelake.rx import any_of, any_sql, quoted
+from tracelake.rx import Rx, any_of, any_sql, quoted
 
 EVIDENCES, SNIPPET = 12, 160
 SEP = " | "
@@ -163,16 +164,54 @@ def flow_edges(nodes: DataFrame) -> DataFrame:
     return nodes.select("step", F.col("tactic_id").alias("from_tactic"), F.lead("tactic_id").over(w).alias("to_tactic")).where("to_tactic is not null")
 
 
-def tools_named(text_rows: DataFrame, text: str) -> DataFrame:
-    """(tool, rows) of the tools that a text column names anywhere."""
-    found = F.array_compact(F.array(*[F.when(any_of(F.col("text__"), (rx,), F.col("lower__")), F.lit(k)) for k, rx, _ in TOOLS]))
-    rows = text_rows.select(F.col(text).alias("text__"), F.lower(text).alias("lower__"))
-    return rows.select(F.explode(found).alias("tool")).groupBy("tool").agg(F.count("*").alias("rows"))
+#: Characters at the end and at the start of a row that a name over several rows can take up.
+REACH = 24
+_STARTS = Rx("(?:" + "|".join(sorted({w for words in PARTED for w in words[:-1]})) + ")$")
+_LASTS = Rx("^(?:" + "|".join(sorted({w for words in PARTED for w in words[1:]})) + ")")
+
+
+def _tools(text: Column, lower: Column) -> Column:
+    """Keys of the tools that a text names."""
+    return F.array_compact(F.array(*[F.when(any_of(text, (rx,), lower), F.lit(k)) for k, rx, _ in TOOLS]))
 
 
-def tools_sql(source: str, text: str) -> str:
-    tests = ", ".join(f"CASE WHEN {any_sql(text, (rx,))} THEN '{k}' END" for k, rx, _ in TOOLS)
-    return f"SELECT tool, count(*)::BIGINT AS rows FROM (SELECT unnest(list_filter([{tests}], lambda x: x IS NOT NULL)) AS tool FROM ({source})) GROUP BY tool"
+def tools_named(text_rows: DataFrame, text: str, order: list[str] | None = None) -> DataFrame:
+    """(tool, rows) of the tools that a text column names anywhere.
+
+    With `order`, columns that name a row, a name may also begin at the end of a row and go on in the one or two
+    rows after it; it counts for the row where it begins. Only rows that end or start with a part of such
+    a name are looked at for it, and rows are numbered (by ranges of their order) only if there are any.
+    """
+    rows = text_rows.select(F.col(text).alias("text__"), F.lower(text).alias("lower__"))
+    named = rows.select(F.explode(_tools(F.col("text__"), F.col("lower__"))).alias("tool"))
+    if order is not None:
+        edge = F.col(text).rlike(_STARTS.java) | F.col(text).rlike(_LASTS.java)
+        if text_rows.where(F.col(text).rlike(_STARTS.java)).take(1):
+            named = named.unionByName(_over_rows(numbered(text_rows.select(*order, text), order, "place").where(edge).select("place", F.col(text).alias("said"))))
+    return named.groupBy("tool").agg(F.count("*").alias("rows"))
+
+
+def _over_rows(edges: DataFrame) -> DataFrame:
+    """(tool) for each row (place, said) where a name begins that the rows after it finish, and that isn't in the row itself."""
+    ends = edges.where(F.col("said").rlike(_STARTS.java)).select("place", F.right("said", F.lit(REACH)).alias("said"))
+    after = [edges.where(F.col("said").rlike(_LASTS.java)).select((F.col("place") - k).alias("place"), F.left("said", F.lit(REACH)).alias(f"said{k}"), (F.length("said") <= REACH).alias(f"whole{k}")) for k in (1, 2)]
+    met = ends.join(after[0], "place").join(after[1], "place", "left")
+    joined = F.concat_ws("\n", "said", "said1", F.when(F.col("whole1"), F.col("said2")))
+    # What stands in one of the rows alone counts there.
+    alone = [_tools(F.col(c), F.lower(c)) for c in ("said", "said1", "said2")]
+    over = F.array_except(_tools(joined, F.lower(joined)), F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in alone]))
+    return met.select(F.explode(over).alias("tool"))
+
+
+def tools_sql(source: str, text: str, order: str | None = None) -> str:
+    tests = lambda t: f"list_filter([{', '.join(f"CASE WHEN {any_sql(t, (rx,))} THEN '{k}' END" for k, rx, _ in TOOLS)}], lambda x: x IS NOT NULL)"
+    named = f"SELECT unnest({tests(text)}) AS tool FROM ({source})"
+    if order:
+        rows = f"SELECT {text} AS s0, lead({text}) OVER (ORDER BY {order}) AS s1, lead({text}, 2) OVER (ORDER BY {order}) AS s2 FROM ({source})"
+        cut = f"SELECT *, right(s0, {REACH}) AS a, left(s1, {REACH}) AS b, left(s2, {REACH}) AS c FROM ({rows}) WHERE regexp_matches(s0, {quoted(_STARTS.re2)}) AND regexp_matches(s1, {quoted(_LASTS.re2)})"
+        joined = f"SELECT *, concat_ws(chr(10), a, b, CASE WHEN length(s1) <= {REACH} AND regexp_matches(s2, {quoted(_LASTS.re2)}) THEN c END) AS j FROM ({cut})"
+        named += f" UNION ALL SELECT unnest(list_filter({tests('j')}, lambda x: NOT list_contains(list_concat({tests('a')}, {tests('b')}, {tests('c')}), x))) AS tool FROM ({joined})"
+    return f"SELECT tool, count(*)::BIGINT AS rows FROM ({named}) GROUP BY tool"
 
 
 def attribution(techniques_: DataFrame, tools: DataFrame, top: int = 6) -> DataFrame:

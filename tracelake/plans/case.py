@@ -91,7 +91,7 @@ class LogCase:
 
     @cached_property
     def attribution(self) -> DataFrame:
-        return threats.attribution(self.techniques, threats.tools_named(self.anomalies, "evidence"))
+        return threats.attribution(self.techniques, threats.tools_named(self.anomalies, "evidence", ["line_number", "rule_no", "source_ip"]))
 
     @cached_property
     def counters(self) -> DataFrame:

@@ -21,7 +21,7 @@ TECHNIQUES = threats.techniques_sql(HITS)
 IOCS = iocs.iocs_sql(iocs.hits_sql(ENTRIES, "coalesce(nullif(raw, ''), message)"))
 CVES = threats.cves_sql(ENTRIES, TECHNIQUES, IOCS)
 TRAFFIC = traffic.traffic_sql(ENTRIES)
-TOOLS = threats.tools_sql(ANOMALIES, "evidence")
+TOOLS = threats.tools_sql(ANOMALIES, "evidence", "line_number NULLS FIRST, rule_no NULLS FIRST, source_ip NULLS FIRST")
 STEPS = reason.killchain_sql(TECHNIQUES)
 TOPS = reason.tops_sql(TECHNIQUES, CVES, IOCS, TRAFFIC)
 COUNTERS = reason.counters_sql(ENTRIES, ANOMALIES, IOCS, TECHNIQUES, CVES, TRAFFIC)
@@ -220,7 +220,7 @@ def actor_attribution(spark, sf):
 
 
 def tools_detected(spark, sf):
-    return threats.tools_named(found(spark, sf), "evidence")
+    return threats.tools_named(cut(found(spark, sf), "anomalies"), "evidence", ["line_number", "rule_no", "source_ip"])
 
 
 def report_counters(spark, sf):

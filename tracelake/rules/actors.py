@@ -41,6 +41,8 @@ TOOLS = (
     ("carbanak", Rx(r"carbanak"), False),
     ("xagent", Rx(r"x-?agent|xtunnel"), False),
 )
+#: Names whose words may stand on two or three lines, as a line end is a space as well: their words, in order.
+PARTED = (("cobalt", "strike"), ("brute", "ratel"), ("fast", "reverse", "proxy"), ("china", "chopper"))
 # Groups, their techniques and tools.
 ACTORS = (
     ("G0102", ("T1486", "T1003", "T1021", "T1071", "T1105", "T1490", "T1567"), ("cobaltstrike", "mimikatz", "psexec", "softperfect", "rclone", "anydesk", "trickbot")),
