@@ -195,8 +195,8 @@ def _over_rows(edges: DataFrame) -> DataFrame:
     """(tool) for each row (place, said) where a name begins that the rows after it finish, and that isn't in the row itself."""
     ends = edges.where(F.col("said").rlike(_STARTS.java)).select("place", F.right("said", F.lit(REACH)).alias("said"))
     after = [edges.where(F.col("said").rlike(_LASTS.java)).select((F.col("place") - k).alias("place"), F.left("said", F.lit(REACH)).alias(f"said{k}"), (F.length("said") <= REACH).alias(f"whole{k}")) for k in (1, 2)]
-    met = ends.join(after[0], "place").join(after[1], "place", "left")
-    joined = F.concat_ws("\n", "said", "said1", F.when(F.col("whole1"), F.col("said2")))
+    met = ends.join(after[0], "place").join(after[1], "place", "left").withColumn("said2", F.when(F.col("whole1"), F.col("said2")))
+    joined = F.concat_ws("\n", "said", "said1", "said2")
     # What stands in one of the rows alone counts there.
     alone = [_tools(F.col(c), F.lower(c)) for c in ("said", "said1", "said2")]
     over = F.array_except(_tools(joined, F.lower(joined)), F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in alone]))
@@ -208,8 +208,8 @@ def tools_sql(source: str, text: str, order: str | None = None) -> str:
     named = f"SELECT unnest({tests(text)}) AS tool FROM ({source})"
     if order:
         rows = f"SELECT {text} AS s0, lead({text}) OVER (ORDER BY {order}) AS s1, lead({text}, 2) OVER (ORDER BY {order}) AS s2 FROM ({source})"
-        cut = f"SELECT *, right(s0, {REACH}) AS a, left(s1, {REACH}) AS b, left(s2, {REACH}) AS c FROM ({rows}) WHERE regexp_matches(s0, {quoted(_STARTS.re2)}) AND regexp_matches(s1, {quoted(_LASTS.re2)})"
-        joined = f"SELECT *, concat_ws(chr(10), a, b, CASE WHEN length(s1) <= {REACH} AND regexp_matches(s2, {quoted(_LASTS.re2)}) THEN c END) AS j FROM ({cut})"
+        cut = f"SELECT *, right(s0, {REACH}) AS a, left(s1, {REACH}) AS b, CASE WHEN length(s1) <= {REACH} AND regexp_matches(s2, {quoted(_LASTS.re2)}) THEN left(s2, {REACH}) END AS c FROM ({rows}) WHERE regexp_matches(s0, {quoted(_STARTS.re2)}) AND regexp_matches(s1, {quoted(_LASTS.re2)})"
+        joined = f"SELECT *, concat_ws(chr(10), a, b, c) AS j FROM ({cut})"
         named += f" UNION ALL SELECT unnest(list_filter({tests('j')}, lambda x: NOT list_contains(list_concat({tests('a')}, {tests('b')}, {tests('c')}), x))) AS tool FROM ({joined})"
     return f"SELECT tool, count(*)::BIGINT AS rows FROM ({named}) GROUP BY tool"
 
