@@ -2,8 +2,10 @@ from collections import Counter
 from fractions import Fraction
 
 import pytest
+from pyspark.sql import functions as F
 
 from tracelake.llm import mixing
+from tracelake.llm.common import row_of_file
 
 
 def worst(out, weights):
@@ -42,3 +44,13 @@ def test_the_walk_is_bounded(spark, monkeypatch):
         assert Counter((r["doc_id"], r["source"]) for r in out if r["epoch"] == 0) == Counter(rows)
         assert worst(out, {"a": 0.5, "b": 0.5}) <= -(-len(out) // 40)
     assert max(walked) <= 60
+
+
+def test_rows_of_files_are_not_written_again(spark, tmp_path):
+    rows = [(k % 40, "abc"[k % 3], f"t{k}") for k in range(200)] + [(1, "a", "t1")] * 3
+    spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    out = mixing.mix(docs.select("*", row_of_file(docs).alias("row")), row="row").collect()
+    assert "row" not in out[0] and Counter((r["doc_id"], r["source"], r["text"]) for r in out if r["epoch"] == 0) == Counter(rows)
+    assert sorted(r["position"] for r in out) == list(range(len(out)))
+    assert row_of_file(docs.withColumn("_metadata", F.lit(1))) is None and row_of_file(spark.range(3)) is None

@@ -125,16 +125,19 @@ def _slots(own: list[int], total: int):
     return run
 
 
-def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int | None = None, period: int | None = None, power: float = POWER, ordered: bool = False) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str | None, float] | None = None, source: str = "source", id: str = "doc_id", block: int | None = None, period: int | None = None, power: float = POWER, ordered: bool = False, row: str | None = None) -> DataFrame:
     """`docs` with epoch, block (number within the source), slot and position in the mix; rows of further epochs repeat.
 
-    If `ordered`, partition k holds the k-th run of positions, in order.
+    If `ordered`, partition k holds the k-th run of positions, in order. `row` names a column that tells rows apart
+    whenever `docs` is read, and isn't carried along; without it `docs` is written first, with such a column.
     """
     spark = docs.sparkSession
     ship(spark)
     name = F.when(F.col(f"`{source}`").isNull(), F.lit("null")).otherwise(F.concat(F.lit("="), F.col(f"`{source}`").cast("string")))
-    kept = [c for c in docs.columns if c.lower() not in OUT]
-    held = cut(docs.select(packed(kept).alias("own"), name.alias("name__"), F.col(f"`{id}`").alias("id__"), F.monotonically_increasing_id().alias("row__")), "mix")
+    kept = [c for c in docs.columns if c.lower() not in OUT and c != row]
+    own_row = F.monotonically_increasing_id() if row is None else F.col(f"`{row}`")
+    held = docs.select(packed(kept).alias("own"), name.alias("name__"), F.col(f"`{id}`").alias("id__"), own_row.alias("row__"))
+    held = cut(held, "mix") if row is None else held
     rows = held.select("name__", "id__", "row__")
     order = ["name__", F.xxhash64("id__"), "id__", "row__"]
     numbered = rows.repartitionByRange(parallelism(spark), *order).sortWithinPartitions(*order).select("name__", "row__", F.monotonically_increasing_id().alias("place__"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelake.llm import audit, chat, fingerprints, langid, mixing, pieces, quality, secrets, shards, simhash, spelling, topk, vectors
-from tracelake.llm.common import table
+from tracelake.llm.common import row_of_file, table
 
 
 def model_path() -> str:
@@ -17,7 +17,8 @@ def model_path() -> str:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"))
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs.select("doc_id", "source", row_of_file(docs).alias("row")), row="row")
 
 
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
