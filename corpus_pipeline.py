@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracelake.llm import langid, mixing, pieces, secrets, similar
-from tracelake.llm.common import drop, packed, scratch, shared_folder, table, unpacked
+from tracelake.llm.common import drop, packed, row_of_file, scratch, shared_folder, table, unpacked
 from tracelake.llm.queries import model_path
 
 
@@ -63,8 +63,9 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     first by name is served; an empty table gives an empty table; further columns stay as they are,
     whatever their names.
     """
-    rows = docs.select(packed(docs.columns).alias("own"), "doc_id", "source")
-    return mixing.mix(rows, ordered=True).select(*unpacked("own", docs.columns))
+    row = row_of_file(docs)
+    rows = docs.select(packed(docs.columns).alias("own"), "doc_id", "source", *[] if row is None else [row.alias("row")])
+    return mixing.mix(rows, ordered=True, row=None if row is None else "row").select(*unpacked("own", docs.columns))
 
 
 def with_position(docs: DataFrame) -> DataFrame:
