@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import cut, packed, unpacked
+from tracelake.llm.common import cut, packed, released, unpacked
 from tracelake.session import ship
 
 WIDTH = 4096
@@ -146,7 +146,7 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
         return empty
     part = F.create_map(*[F.lit(x) for l, c in different.items() for x in (l, min(1.0, SPARE * PER_LANGUAGE / max(1, c)) if c > PER_LANGUAGE else 1.0)])
     chosen = F.pmod(F.col("mark"), F.lit(1 << 30)) < part[F.col("lang")] * float(1 << 30)
-    found = cut(known.select("lang", "text", "mark", chosen.alias("chosen")).mapInArrow(_taught, "lang string, mark long, at array<int>, n array<long>"), "taught")
+    found = cut(known.select("lang", "text", "mark", chosen.alias("chosen")).mapInArrow(released(_taught), "lang string, mark long, at array<int>, n array<long>"), "taught")
     total = found.where("lang is null")
     docs = total.agg(F.sum("mark")).first()[0] or 0
     seen = np.zeros(WIDTH)
@@ -198,7 +198,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 lang, score, rejected = held.value.predict(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(lang, pa.string()), pa.array(score), pa.array(rejected)], ["own", *made])
 
-    found = rows.mapInArrow(predict, T.StructType([rows.schema["own"], *[T.StructField(c, t) for c, t in made.items()]]))
+    found = rows.mapInArrow(released(predict), T.StructType([rows.schema["own"], *[T.StructField(c, t) for c, t in made.items()]]))
     return found.select(*unpacked("own", kept), *made)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelake.llm.common import packed, unpacked
+from tracelake.llm.common import packed, released, unpacked
 from tracelake.session import ship
 
 SPACE = "▁"
@@ -467,7 +467,7 @@ def encode_documents(docs: DataFrame, model_path: str, text: str = "text", out:
 
     kinds = [T.ArrayType(T.IntegerType()), T.StringType()]
     schema = T.StructType([rows.schema["own"], *[T.StructField(c, t) for c, t in zip(NEW, kinds[: len(made)])]])
-    return rows.mapInArrow(encode, schema).select(*unpacked("own", kept), *[F.col(n).alias(c) for n, c in zip(NEW, made)])
+    return rows.mapInArrow(released(encode), schema).select(*unpacked("own", kept), *[F.col(n).alias(c) for n, c in zip(NEW, made)])
 
 
 def decode_documents(docs: DataFrame, model_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
