@@ -329,18 +329,19 @@ def train(docs: DataFrame, labels: DataFrame, id: str = "doc_id") -> Model:
     """A model from `labels` (id, quality, toxic) of `docs` (id, text, source, lang)."""
     ship(docs.sparkSession)
     good = ((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).cast("int")
-    marks = labels.where("quality is not null").groupBy(F.col(f"`{id}`").alias("id")).agg(F.min(good).alias("good"), F.max(good).alias("most")).where("good = most").drop("most")
+    mark = F.xxhash64(F.col(f"`{id}`").alias("id")).alias("mark")
+    marks = labels.where(F.col("quality").isNotNull() & F.col(f"`{id}`").isNotNull()).groupBy(mark).agg(F.min(good).alias("good"), F.max(good).alias("most")).where("good = most").drop("most")
+    marks = cut(marks, "marks")
+    part = min(1.0, LABELLED / max(1, marks.count()))
     named = [F.col(f"`{c}`").cast("string").alias(c) for c in ("text", "source", "lang")]
-    mark = F.xxhash64(F.col(f"`{id}`").alias("id"))
     rows = docs.select(*named, F.xxhash64(F.col(f"`{id}`").alias("id"), *named).alias("key"), F.when(F.col(f"`{id}`").isNotNull(), mark).alias("mark"))
-    features = cut(rows.mapInArrow(_features, f"key long, mark long, {VIEWS}"), "features")
+    # Labels are of the size of the documents, so the features, which are small, are moved to them, once.
+    features = cut(rows.mapInArrow(_features, f"key long, mark long, {VIEWS}").join(marks.hint("merge"), "mark", "left"), "features")
     model = measured(features)
-    marks = cut(marks.select(F.xxhash64("id").alias("mark"), "good"), "marks")
-    part = min(1.0, LABELLED / max(1, marks.count()))
-    chosen = marks.where(F.pmod("mark", F.lit(1 << 30)) < int(part * (1 << 30)))
-    rows = features.join(chosen, "mark").orderBy("mark", "key").limit(LABELLED).collect()
+    chosen = features.where(F.col("good").isNotNull() & (F.pmod("mark", F.lit(1 << 30)) < int(part * (1 << 30))))
+    rows = chosen.orderBy("mark", "key").limit(LABELLED).collect()
     known = list(zip(_views([[r[c] for r in rows] for c in ("words", "shares", "meta")]), [r["good"] for r in rows]))
-    return co_trained(model, known, features.join(marks, "mark", "left_anti"))
+    return co_trained(model, known, features.where("good is null"))
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", source: str = "source", lang: str = "lang") -> DataFrame:
