@@ -40,3 +40,19 @@ def test_each_signature_hits_and_spares(spark):
         assert s.code in found
     plain = spark.createDataFrame([("GET /index.html 200 from 10.0.0.1",)], "t string")
     assert not any(plain.where(any_of(F.col("t"), s.patterns)).count() for s in SIGNATURES)
+
+
+def test_rules_work_without_the_reader_of_patterns(spark, monkeypatch):
+    """Guards then let every text through, and the same is found."""
+    from tracelake import rx
+    from tracelake.operators import iocs
+
+    df = spark.createDataFrame([("see evil.example.com and 203.0.113.9 ../../etc/passwd",), ("nothing here",)], "t string")
+    look = lambda: [sorted(map(str, r["f"])) for r in df.select(iocs.found(F.col("t"), F.lower("t")).alias("f")).collect()]
+    with_reader = look()
+    monkeypatch.setattr(rx, "_parser", None)
+    rx.needed.cache_clear()
+    try:
+        assert rx.needed("nikto") == {""} and look() == with_reader and with_reader[0]
+    finally:
+        rx.needed.cache_clear()

@@ -10,12 +10,16 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 from functools import lru_cache, reduce
-from re import _constants as op
-from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+try:  # Python's own reader of patterns, which isn't promised to stay
+    from re import _constants as op
+    from re import _parser
+except ImportError:
+    _parser = None
+
 _WORD = "[A-Za-z0-9_]"
 _EDGE = f"(?:(?<!{_WORD})(?={_WORD})|(?<={_WORD})(?!{_WORD}))"
 
@@ -103,7 +107,13 @@ def _needed(items) -> set[str] | None:
 
 @lru_cache(maxsize=None)
 def needed(pattern: str) -> frozenset[str] | None:
-    """Lower-case texts one of which occurs, case ignored, in every text that a pattern matches; None if none are known."""
+    """Lower-case texts one of which occurs, case ignored, in every text that a pattern matches; None if none are known.
+
+    They only spare the work of trying a pattern: without Python's reader of patterns the answer is the empty
+    text, which every text holds.
+    """
+    if _parser is None:
+        return frozenset({""})
     found = _needed(_parser.parse(pattern))
     return frozenset(found) if found else None
 
