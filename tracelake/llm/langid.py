@@ -160,7 +160,7 @@ def train(rows: DataFrame, lang: str = "lang", text: str = "text", key: str = "d
     model.langs = sorted(different)
     places = {name: k for k, name in enumerate(model.langs)}
     parts, owner, least = [], [], []
-    for name, rows_ in groupby(cut(sample.orderBy("lang", "nth__"), "sample").toLocalIterator(), key=lambda r: r["lang"]):
+    for name, rows_ in groupby(sample.orderBy("lang", "nth__").toLocalIterator(), key=lambda r: r["lang"]):
         k, taken = places[name], []
         for r in rows_:
             c = np.zeros(WIDTH, np.float32)
