@@ -1,9 +1,12 @@
-"""What keeps large tables within their time: tasks of bounded size, and guards that say enough."""
+"""What keeps large tables within their time: tasks of bounded size, guards that say enough, characters counted in batches."""
 
+import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from tracelake import rx
-from tracelake.functions import time
+from tracelake.functions import text, time
 from tracelake.operators import detect, iocs
 from tracelake.rules.iocs import PATTERNS
 from tracelake.rules.signatures import SIGNATURES
@@ -40,3 +43,16 @@ def test_times_are_the_same_form_by_form(spark):
     df = spark.createDataFrame([(t,) for t in [*LINES, None]], "t string")
     got = [tuple(r) for r in time.with_timestamp(df, "t").select("ts", time.parse_timestamp(F.col("t")).alias("own")).collect()]
     assert all(a == b for a, b in got) and sum(a is not None for a, _ in got) == 4
+
+
+def test_characters_in_batches(spark, monkeypatch):
+    texts = [*LINES, None, "x" * 300, "\t\n 1aZ_"]
+    stats = text.char_stats(F.col("t"))
+    want = spark.createDataFrame([(t,) for t in texts], "t string").select(text.shannon_entropy(F.col("t")), stats["len"], stats["digit_ratio"], stats["special_ratio"], F.coalesce(F.length(F.regexp_replace("t", r"[\x00-\x7f]", "")), F.lit(0))).collect()
+    for counted, together in ((1 << 20, 2048), (40, 3)):
+        monkeypatch.setattr(text, "COUNTED", counted)
+        monkeypatch.setattr(text, "TOGETHER", together)
+        m = text.measured(pa.array([None, *texts], pa.string()).slice(1))
+        n = np.maximum(1, m["length"])
+        got = np.stack([m["entropy"], m["length"], m["digits"] / n, m["special"] / n, m["beyond"]], axis=1)
+        assert got.tolist() == [pytest.approx(list(r)) for r in want]
