@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tracelake import rx
 from tracelake.functions import text, time
-from tracelake.operators import detect, iocs
+from tracelake.operators import detect, iocs, observe, parse
 from tracelake.rules.iocs import PATTERNS
 from tracelake.rules.signatures import SIGNATURES
 from tracelake.sources import testbed
@@ -56,3 +56,22 @@ def test_characters_in_batches(spark, monkeypatch):
         n = np.maximum(1, m["length"])
         got = np.stack([m["entropy"], m["length"], m["digits"] / n, m["special"] / n, m["beyond"]], axis=1)
         assert got.tolist() == [pytest.approx(list(r)) for r in want]
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_what_rows_hold_is_worked_out_after_they_are_dealt(spark, tmp_path):
+    spark.range(9).select(F.col("id").alias("event_id"), F.col("id").alias("user_id"), F.lit("click").alias("event_type"), F.timestamp_seconds("id").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    plan = _plan(detect.behaviour(parse.weblog(testbed.access_lines(spark, str(tmp_path)))))
+    behind = plan[plan.index("Repartition") :]
+    assert "Filter" not in behind and "HTTP" not in behind and "HTTP" in plan
+
+
+def test_lines_are_not_sorted_to_be_counted(spark):
+    entries = parse.weblog(spark.createDataFrame([(1, LINES[6]), (2, LINES[6])], "line_number long, line string"))
+    for df in (detect.behaviour(entries), observe.sources(entries)):
+        assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
+        row = df.first()
+        assert row["missing"] == 2 and row["first_missing_line"] == 1 and row["first_missing_ts"] is not None and row["first_denied_line"] is None
