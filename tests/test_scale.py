@@ -1,5 +1,6 @@
 """What keeps large tables within their time: tasks of bounded size, guards that say enough, characters counted in batches."""
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -10,6 +11,7 @@ from tracelake.functions import text, time
 from tracelake.operators import detect, iocs, observe, parse
 from tracelake.rules.iocs import PATTERNS
 from tracelake.rules.signatures import SIGNATURES
+from tracelake.plans.case import LogCase
 from tracelake.sources import testbed
 
 LINES = ["", "plain words", "see https://a.example.org/x?y=1 or http://b.example.com", "' or '1'='1", "nmap; id `x` $(y)", "größer 가나다 \U0001f600 12", "10.0.0.1 - - [01/Feb/2024:10:11:12 +0100] \"GET /.env HTTP/1.1\" 404 -", "2024-02-01 10:11:12 [99/Xyz/2024:10:11:12", "Feb  3 04:05:06 host", "t=1700000000123", "mail a@b.example.com C:\\x\\y.exe " + "a" * 64]
@@ -75,3 +77,31 @@ def test_lines_are_not_sorted_to_be_counted(spark):
         assert "SortAggregate" not in df._jdf.queryExecution().executedPlan().toString()
         row = df.first()
         assert row["missing"] == 2 and row["first_missing_line"] == 1 and row["first_missing_ts"] is not None and row["first_denied_line"] is None
+
+
+def test_batches_are_matched_as_by_duckdb(spark):
+    texts = [*LINES, None, "union\x0bselect", "union\tselect", "powershell a\rb -enc x", "curl a\nb post", "CVE-2021-44228 log4j", "C:\\a\\b.exe", "x@y.org", "사용자 로그인 실패"]
+    groups = observe.GROUPS
+    con = duckdb.connect()
+    want = [sum(1 << k for k, g in enumerate(groups) if t is not None and con.execute(f"SELECT {rx.any_sql('?', g)}", [t]).fetchone()[0]) for t in texts]
+    assert rx.matched(pa.array([None, *texts], pa.string()).slice(1), ["|".join(p.re2 for p in g) for g in groups]).to_pylist() == want
+    assert rx.matched(pa.array([], pa.string()), ["a"]).to_pylist() == []
+    entries = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line_number long, raw string").withColumn("message", F.lit(""))
+    hits = {(r["line_number"], r["rule_no"]) for r in detect.rule_hits(entries).collect()}
+    assert hits == {(k, no) for k, bits in enumerate(want) for no in range(len(SIGNATURES)) if bits >> no & 1}
+
+
+def test_marks_are_those_found_without_bits(spark):
+    df = spark.createDataFrame([(t,) for t in [*LINES, "CVE-2021-44228 203.0.113.9 x@y.org b.com http://c.net/d.png http://e.io/f"]], "t string").withColumn("l", F.lower("t")).withColumn("b", rx.occurring(F.col("t"), observe.GROUPS))
+    first = len(observe.GROUPS) - len(iocs.SELDOM)
+    rows = df.select(iocs.found(F.col("t"), F.col("l")).alias("a"), iocs.marked(F.col("t"), F.col("b"), first).alias("b")).collect()
+    assert [r["a"] for r in rows] == [r["b"] for r in rows] and len(rows[-1]["a"]) == 8
+
+
+def test_lines_are_parsed_once(spark):
+    lines = spark.createDataFrame([(k, f'10.0.0.{k % 2} - - [01/Feb/2024:10:11:12 +0000] "GET /.env{k} HTTP/1.1" 404 -') for k in range(40)], "line_number long, line string")
+    case = LogCase(parse.weblog(lines))
+    assert case.observed.count() == 40
+    case.entries = None  # nothing goes back to the lines
+    assert case.report_lines.count() > 3 and case.anomalies.where("rule_no = 19").count() == 2
+    assert "HTTP" not in _plan(detect.anomalies(parse.weblog(lines)))
